@@ -28,12 +28,12 @@ with recursive tags as (
   select url, unnest(regexp_extract_all(html, '(?is)(<(?:link|meta)\s[^>]*>)', 1)) as tag
   from pages where html is not null and url like '%://%'),
 named as (
-  select url, case
-    when regexp_matches(tag, '(?i)^<link') and list_contains(regexp_split_to_array(lower(concat(regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1), regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2), regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3))), '\s+'), 'canonical')
-      then replace(trim(concat(regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1), regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2), regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3))), '&amp;', '&')
-    when regexp_matches(tag, '(?i)^<meta') and regexp_matches(tag, '(?is)[\s"''/]http-equiv\s*=\s*["'']?refresh["''\s/>]')
-      then trim(regexp_extract(replace(tag, '&amp;', '&'), '(?is)[\s"''/]content\s*=\s*["'']?\s*[\d.]*\s*[;,]\s*url\s*=\s*[''"]?([^''">]*)', 1))
-    end as link from tags),
+  select url, replace(case
+    when regexp_matches(tag, '(?i)^<link') and list_contains(regexp_split_to_array(lower(regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*["'']?([^"''>]*)', 1)), '\s+'), 'canonical')
+      then regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?\s*([^"''>\s]*)', 1)
+    when regexp_matches(tag, '(?i)^<meta') and regexp_matches(tag, '(?is)[\s"''/]http-equiv\s*=\s*["'']?\s*refresh["''\s/>]')
+      then regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*["'']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["'']?\s*([^"''>\s]*)', 1)
+    end, '&amp;', '&') as link from tags),
 links as (
   select url, case when link = '' or link is null then null
     when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link

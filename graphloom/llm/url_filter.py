@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import pick
+from graphloom.llm.common import materialize, pick
 from graphloom.llm.components import connected_components
 
 Rule = tuple[str, str]
@@ -25,7 +25,10 @@ Rule = tuple[str, str]
 MOST_RULES = 500
 
 AUTHORITY = r"(?s)^.*?://([^/?#]*)"
-ATTRIBUTE = r"""(?is)[\s"'/]%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+REL = r"""(?is)[\s"'/]rel\s*=\s*["']?([^"'>]*)"""
+HREF = r"""(?is)[\s"'/]href\s*=\s*["']?\s*([^"'>\s]*)"""
+EQUIV = r"""(?is)[\s"'/]http-equiv\s*=\s*["']?\s*refresh["'\s/>]"""
+REFRESH = r"""(?is)[\s"'/]content\s*=\s*["']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["']?\s*([^"'>\s]*)"""
 
 
 def lower_ascii(c: Column) -> Column:
@@ -43,9 +46,8 @@ def path_of(url: Column) -> Column:
 def node_of(url: Column) -> Column:
     """A url as a node: without its fragment, scheme and host lower-cased; null if it has no ``://``."""
     url = F.trim(url)
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(lower_ascii(scheme), F.lit("://"), host_of(url), rest))
+    site = lower_ascii(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0))
+    return F.when(site != "", F.concat(site, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -62,21 +64,16 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return rule, verdict
 
 
-def attribute(tag: Column, name: str) -> Column:
-    found = [F.regexp_extract(tag, ATTRIBUTE % name, i) for i in (1, 2, 3)]
-    return F.replace(F.trim(F.concat(*found)), F.lit("&amp;"), F.lit("&"))
-
-
 def absolute(link: Column, base: Column) -> Column:
     """A link as a url: with its own scheme, ``//host``, ``/path``, or beside the base's last slash."""
-    scheme, host = F.regexp_extract(base, r"(?s)^(.*?)://", 1), host_of(base)
-    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    start = F.regexp_extract(base, r"(?s)^.*?:(?=//)", 0)
+    site = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*(?:[^?#]*/)?", 0)
     return (
-        F.when(link == "", F.lit(None).cast("string"))
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host, link))
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.when(folder == "", "/").otherwise(folder), link))
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(start, link))
+        .when(link.startswith("/"), F.concat(site, link))
+        .otherwise(F.concat(folder, F.when(folder.endswith("/") & (folder != F.concat(start, F.lit("//"))), "").otherwise("/"), link))
     )
 
 
@@ -84,12 +81,14 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's url and the url of its canonical link or its refresh redirect, as nodes."""
     named = pick(pages, url="url", html="html").where(F.col("html").rlike("(?i)canonical|refresh"))
     tags = named.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)).alias("tag"))
-    tag, url = F.col("tag"), F.col("url")
-    canonical = F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical")
-    refresh = F.lower(attribute(tag, "http-equiv")) == "refresh"
-    target = F.trim(F.regexp_extract(attribute(tag, "content"), r"""(?is)^\s*[\d.]*\s*[;,]\s*url\s*=\s*['"]?([^'"]*)""", 1))
-    link = F.when(tag.rlike(r"(?i)^<link") & canonical, attribute(tag, "href")).when(tag.rlike(r"(?i)^<meta") & refresh, target)
-    return tags.select(node_of(url).alias("a"), node_of(absolute(link, url)).alias("b")).where("a is not null and b is not null")
+    tag, link = F.col("tag"), F.col("link")
+    canonical = tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(F.regexp_extract(tag, REL, 1)), r"\s+"), "canonical")
+    refresh = tag.rlike("(?i)^<meta") & tag.rlike(EQUIV)
+    found = F.when(canonical, F.regexp_extract(tag, HREF, 1)).when(refresh, F.regexp_extract(tag, REFRESH, 1))
+    # Written down here: the expressions below would else be put into each other, past what compiles.
+    links = materialize(tags.select("url", found.alias("link")).where("link <> ''"), "links")
+    links = links.select("url", absolute(F.replace(link, F.lit("&amp;"), F.lit("&")), F.col("url")).alias("target"))
+    return links.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None) -> DataFrame:
