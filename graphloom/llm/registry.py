@@ -11,6 +11,18 @@ from graphloom.llm.common import table
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 4096, end_id=1)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.url_filter import filter_urls
 
@@ -23,6 +35,12 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(encode_media(table(spark, sf_dir, "documents")), with_payload=False)
 
 
+def op8_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.bitplanes import tokens_round_trip
+
+    return tokens_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
 OP2_SQL = r"""
 with recursive tags as (
   select url, unnest(regexp_extract_all(html, '(?is)(<(?:link|meta)\s[^>]*>)', 1)) as tag
@@ -70,7 +88,7 @@ from urls u left join judged j using (host, path) left join passed p using (node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op3_ogg_media": op3_ogg_media}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op8_plane_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
