@@ -35,6 +35,19 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(encode_media(table(spark, sf_dir, "documents")), with_payload=False)
 
 
+def op4_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.compress_quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.simhash_dedup import dedup_classes
+
+    return dedup_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.bitplanes import tokens_round_trip
 
@@ -88,7 +101,7 @@ from urls u left join judged j using (host, path) left join passed p using (node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op8_plane_tokens)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op6_simhash_dedup, op8_plane_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
