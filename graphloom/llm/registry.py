@@ -42,6 +42,12 @@ def op4_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.simhash_dedup import dedup_classes
 
@@ -101,7 +107,7 @@ from urls u left join judged j using (host, path) left join passed p using (node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op6_simhash_dedup, op8_plane_tokens)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op5_secret_scan, op6_simhash_dedup, op8_plane_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
