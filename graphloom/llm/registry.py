@@ -60,6 +60,12 @@ def op8_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pii_crf import scan_pii
+
+    return scan_pii(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 with recursive tags as (
   select url, unnest(regexp_extract_all(html, '(?is)(<(?:link|meta)\s[^>]*>)', 1)) as tag
@@ -107,7 +113,7 @@ from urls u left join judged j using (host, path) left join passed p using (node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op5_secret_scan, op6_simhash_dedup, op8_plane_tokens)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op5_secret_scan, op6_simhash_dedup, op8_plane_tokens, op10_pii_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
