@@ -60,6 +60,12 @@ def op8_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.pii_crf import scan_pii
 
@@ -112,9 +118,30 @@ from urls u left join judged j using (host, path) left join passed p using (node
 """
 
 
+OP9_SQL = r"""
+with d as (
+  select distinct doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w, text from documents),
+dp as (select doc_id, text, len(w) - 4 as n_doc, unnest(range(len(w) - 4)) as pos, w from d where len(w) >= 5),
+ds as (select doc_id, text, n_doc, pos, array_to_string(w[pos + 1 : pos + 5], ' ') as h from dp),
+b as (
+  select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w, text from benchmark),
+bp as (select item_id, text, len(w) - 4 as n, unnest(range(len(w) - 4)) as pos, w from b where len(w) >= 5),
+bs as (select item_id, text, n, array_to_string(w[pos + 1 : pos + 5], ' ') as h, count(*) as c from bp group by all),
+a as (select ds.*, v.n from ds join (select distinct h, n from bs) v using (h)),
+o as (select x.doc_id, x.text, x.n, x.pos, x.n_doc, y.h, count(*) as d
+  from a x join a y on x.doc_id is not distinct from y.doc_id and x.text = y.text and x.n = y.n and y.pos >= x.pos and y.pos < x.pos + x.n group by all),
+m as (select o.doc_id, o.text, o.n, o.pos, o.n_doc, bs.item_id, bs.text as item, sum(least(o.d, bs.c)) as m
+  from o join bs on o.n = bs.n and o.h = bs.h group by all),
+s as (select *, m / (least(n, n_doc - pos) + n - m) as j from m),
+r as (select doc_id, item_id, round(j, 6) as similarity, pos, n,
+  row_number() over (partition by doc_id, item_id order by round(j, 6) desc, pos, n) as k from s where j >= 0.8 - 1e-12)
+select doc_id, item_id, cast(similarity as double) as similarity, cast(pos as bigint) as first_word, cast(n + 4 as bigint) as n_words from r where k = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op5_secret_scan, op6_simhash_dedup, op8_plane_tokens, op10_pii_crf)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op5_secret_scan, op6_simhash_dedup, op8_plane_tokens, op9_decontaminate, op10_pii_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op2_url_filter": OP2_SQL, "op9_decontaminate": OP9_SQL}
