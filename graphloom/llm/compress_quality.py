@@ -16,15 +16,17 @@ rows of both classes every score is the smoothed share of good labels. Repeated
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_map, pick
+from graphloom.llm.common import BATCH_ROWS, arrow_map, pick
 
 FOLDS = 5
 DICTIONARY_ROWS = 200
@@ -155,3 +157,20 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return arrow_map(named, run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with their own columns."""
+    if not model.weights:
+        return docs.where(F.lit(model.share >= threshold))
+    mean, scale, w = np.array(model.mean), np.array(model.scale), np.array(model.weights)
+
+    @F.pandas_udf("boolean")
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            sizes = Sizes(model.good, model.bad)
+            x = (np.array([sizes(t) for t in series]).reshape(-1, len(mean)) - mean) / scale
+            yield pd.Series(0.5 * (1 + np.tanh((x @ w[:-1] + w[-1]) / 2)) >= threshold)
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.where(good(F.col("text")))

@@ -20,9 +20,11 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import BATCH_ROWS
 from graphloom.llm.spans import Span, replace_spans, span_rows
 
 BASE = ("assign", "access", "hex")
@@ -117,10 +119,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """documents with every span of a secret replaced; endpoints stay. Other columns are kept, n_chars follows."""
 
-    def clean(texts):
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else replace_spans(t, [s for s in scan(t)[1] if s[0] != "endpoint"]))
 
-    text = F.pandas_udf(clean, "string")(F.col("text"))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    out = docs.withColumn("text", text)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    out = docs.withColumn("text", clean(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

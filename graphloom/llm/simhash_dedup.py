@@ -63,14 +63,14 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """documents -> (doc_id, fp), fp as a signed long."""
+    """documents -> (doc_id, th, fp): th a hash of the text, fp as a signed long."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, k) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, k) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "th", "fp"])
 
-    return arrow_map(pick(docs, doc_id="doc_id", text="text"), run, "doc_id long, fp long")
+    return arrow_map(pick(docs, doc_id="doc_id", th=F.xxhash64("text"), text="text"), run, "doc_id long, th long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> np.ndarray:
@@ -209,7 +209,8 @@ def links(fps: DataFrame, groups: list[tuple[list[int], int]], radius: int = RAD
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
-    """documents -> (doc_id, fp, component_id): the least doc_id that links lead to, its own included."""
+    """documents -> (doc_id, th, fp, root, component_id), a row for each row. root is the least fingerprint
+    of the class, component_id its least doc_id."""
     marked = materialize(fingerprints(docs, k), "fingerprints")
     counted = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     fps = counted.select("fp")
@@ -218,10 +219,20 @@ def classes(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFram
     found = connected_components(edges)
     rooted = counted.join(found, counted["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(of, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def dedup_classes(docs: DataFrame) -> DataFrame:
     """The classes with fingerprints as 16 hexadecimal digits."""
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of docs for each class, with its own columns: that of the least doc_id, null last; of rows
+    with that doc_id the one whose text has the least hash."""
+    none = F.lit(-(1 << 63))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", none).alias("key"), F.col("th"))).alias("x")
+    kept = classes(docs).groupBy("root").agg(first).select("x.key", "x.th")
+    keyed = docs.withColumns({"key": F.coalesce("doc_id", none), "th": F.xxhash64("text")})
+    return keyed.join(kept, ["key", "th"], "left_semi").dropDuplicates(["key", "th"]).select(*docs.columns)
