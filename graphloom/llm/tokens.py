@@ -10,15 +10,15 @@ white space could make a cut ambiguous go to the library whole. The ids equal th
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 #: Bounds of the two stores of a worker: words as they stand between spaces, and the parts the
 #: tokenizer itself cuts them into. At about 200 bytes an entry. Full stores only stop growing.
-MOST_WORDS, MOST_PARTS = 250_000, 600_000
+MOST_WORDS, MOST_PARTS = 500_000, 500_000
 
 BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -27,6 +27,65 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 SIGMA = "Σ"
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself where it is
+    printable, else one after 255 in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(rest)) for b in range(256)}
+
+
+class Parts(dict):
+    """Ids of the parts that a tokenizer's own cutting makes, by its library's model."""
+
+    def __init__(self, library: Tokenizer):
+        super().__init__()
+        self.model = library.model
+        # Looked up here already; its own store would only be written to.
+        self.model._resize_cache(0)
+        self.letters = byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(self) < MOST_PARTS:
+            self[part] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids of words as they stand between spaces; None for one that begins or ends with white space."""
+
+    def __init__(self, library: Tokenizer, kind: str):
+        super().__init__()
+        self.library, self.kind = library, kind
+        self.special = [t.content for t in library.get_added_tokens_decoder().values()]
+        self.parts = Parts(library)
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.find(word)
+        if len(self) < MOST_WORDS:
+            self[word] = ids
+        return ids
+
+    def find(self, word: str) -> bytes | None:
+        if "<" in word and any(s in word for s in self.special):
+            return None if word[-1].isspace() else self.whole(word)
+        if self.kind == "byte":
+            cut = BYTE_PARTS.findall(word)
+            if cut[0].isspace() or cut[-1].isspace():
+                return None
+        elif not word.isascii() and (SIGMA in word or not unicodedata.is_normalized("NFC", word)):
+            return self.whole(word)
+        else:
+            cut = WORD_PARTS.findall(word.lower())
+        return b"".join(map(self.parts.__getitem__, cut))
+
+    def whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. kind: "byte" for byte-level vocabularies
     (a space belongs to the word after it), "word" for those that drop white space."""
@@ -34,80 +93,26 @@ class Encoder:
     def __init__(self, path: str, kind: str):
         self.library = Tokenizer.from_file(path)
         self.kind = kind
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _split(self, word: str) -> list[str] | None:
-        """The parts the library would cut a word into; None if the word must go to it whole."""
-        if any(s in word for s in self.special):
-            return None
-        if self.kind == "byte":
-            return BYTE_PARTS.findall(word)
-        if not word.isascii() and (SIGMA in word or not unicodedata.is_normalized("NFC", word)):
-            return None
-        return WORD_PARTS.findall(word.lower())
-
-    def _learn(self, words: set[str]) -> dict[str, bytes | None]:
-        """Ids of unseen words; None for a word that begins or ends with white space."""
-        found: dict[str, bytes | None] = {}
-        split, unseen = {}, set()
-        for w in words:
-            inner = w[1:] if self.kind == "byte" else w
-            if not inner or inner[0].isspace() or inner[-1].isspace():
-                found[w] = None
-                continue
-            split[w] = parts = self._split(w)
-            unseen.update([w] if parts is None else [p for p in parts if p not in self.parts])
-        order = list(unseen)
-        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(order, self.library.encode_batch(order, add_special_tokens=False))} if order else {}
-        for w, parts in split.items():
-            found[w] = got[w] if parts is None else b"".join([got[p] if p in got else self.parts[p] for p in parts])
-        if len(self.parts) < MOST_PARTS:
-            self.parts |= {p: v for p, v in got.items() if p not in split or split[p] is not None}
-        if len(self.words) < MOST_WORDS:
-            self.words |= found
-        return found
+        self.words = Words(self.library, kind)
+
+    def one(self, text: str) -> bytes:
+        if self.kind == "word":
+            if ODD_SPACE.search(text):
+                return self.words.whole(text)
+            return b"".join(map(self.words.__getitem__, text.split()))
+        if not text:
+            return b""
+        first, space, rest = text.partition(" ")
+        if not first or first[0].isspace():
+            return self.words.whole(text)
+        ids = [self.words.find(first)]
+        if space:
+            ids += map(self.words.__getitem__, [" " + w for w in rest.split(" ")])
+        return self.words.whole(text) if None in ids else b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if self.kind == "word":
-                cut.append(None if ODD_SPACE.search(t) else t.split())
-            elif not t or t[0].isspace():
-                cut.append(None)
-            else:
-                cut.append([" " + w for w in t.split(" ")])
-        unseen = set()
-        for c in cut:
-            if c:
-                unseen.update(c)
-        unseen.difference_update(self.words)
-        fresh = self._learn(unseen) if unseen else {}
-        known = self.words
-        out = []
-        for t, c in zip(texts, cut):
-            if c is None:
-                out.append(self.whole(t) if t else b"")
-                continue
-            ids = [known[w] if w in known else fresh[w] for w in c]
-            if self.kind == "byte":
-                ids[0] = self._first(c[0][1:])
-            out.append(self.whole(t) if None in ids else b"".join(ids))
-        return out
-
-    def _first(self, word: str) -> bytes | None:
-        """A text's first word has no space before it."""
-        if not word or word[-1].isspace():
-            return None
-        parts = self._split(word)
-        if parts is None:
-            return self.whole(word)
-        return b"".join([self.parts[p] if p in self.parts else self.whole(p) for p in parts])
+        return [self.one(t) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
