@@ -54,6 +54,12 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.bitplanes import tokens_round_trip
 
@@ -140,7 +146,7 @@ select doc_id, item_id, cast(similarity as double) as similarity, cast(pos as bi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op5_secret_scan, op6_simhash_dedup, op8_plane_tokens, op9_decontaminate, op10_pii_crf)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ogg_media, op4_compress_quality, op5_secret_scan, op6_simhash_dedup, op7_chained_passages, op8_plane_tokens, op9_decontaminate, op10_pii_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
