@@ -33,20 +33,21 @@ def query(sql: str | None = None, *, recursive: bool = False, over_graph: bool =
 
 # Seeds that follow the data: the most called node, and the one that calls most.
 SEED = "seed as (select k, id from (select n.k, n.id, count(*) as c from e join n on n.id = e.dst where relation = 'calls' group by all) order by c desc, k limit 1)"
-CALLER = "far as (select k, id from (select n.k, n.id, count(*) as c from e join n on n.id = e.src where relation = 'calls' group by all) order by c desc, k limit 1)"
+CALLER = "far as (select k, id from (select n.k, n.id, count(*) as c from e join n on n.id = e.src where relation = 'calls' and project = (select project from n where id = (select id from seed)) group by all) order by c desc, k limit 1)"
 
 
-def _most(g: Graph, end: str) -> DataFrame:
+def _most(g: Graph, nodes: DataFrame, end: str) -> DataFrame:
     calls = g.edges.where("relation = 'calls'").groupBy(F.col(end).alias("id")).agg(F.count("*").alias("c"))
-    return g.nodes.join(calls, "id").orderBy(F.desc("c"), "k").limit(1).select("id", "k")
+    return nodes.join(calls, "id").orderBy(F.desc("c"), "k").limit(1).select("id", "k")
 
 
 def seed(g: Graph) -> DataFrame:
-    return _most(g, "dst")
+    return _most(g, g.nodes, "dst")
 
 
 def far(g: Graph) -> DataFrame:
-    return _most(g, "src")
+    home = seed(g).join(g.nodes, "id").select("project")
+    return _most(g, g.nodes.join(F.broadcast(home), "project", "left_semi"), "src")
 
 
 # ---- expansion and traversal
