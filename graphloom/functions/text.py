@@ -69,11 +69,3 @@ def line_of(text: Column, offset: Column) -> Column:
     head = F.substring(text, F.lit(1), offset)
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
 
-
-def identifiers(text: Column) -> Column:
-    """Names worth looking up in a sentence, at most five: those with capitals inside or underscores
-    first, then other words of five letters or more; each part in the order of the text."""
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1))
-    marked = F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike("[a-z][A-Z]|_|^[A-Z][a-z]+[A-Z]"))
-    plain = F.filter(F.array_except(words, marked), lambda w: F.length(w) >= 5)
-    return F.slice(F.concat(marked, plain), 1, 5)

@@ -37,6 +37,14 @@ def definition_edges(definitions: DataFrame, symbols: DataFrame, project: str) -
     return hit.select(F.lit(project).alias("project"), "file", F.col("source_name").alias("source"), F.concat_ws(":", "target_file", "name").alias("target"), F.lit("imports").alias("relation"), F.lit(SERVER_CONFIDENCE).alias("confidence"), "source_line")
 
 
+def implementation_edges(found: DataFrame, symbols: DataFrame, project: str) -> DataFrame:
+    """found (source_name, source_file, target_file, target_line) -> raw edges from the classes that
+    implement to what they implement."""
+    at = nearest_symbol(symbols, found.select(F.col("target_file").alias("file"), F.col("target_line").alias("line")))
+    hit = found.join(at.select(F.col("file").alias("target_file"), F.col("line").alias("target_line"), "name"), ["target_file", "target_line"])
+    return hit.select(F.lit(project).alias("project"), F.col("target_file").alias("file"), F.col("name").alias("source"), F.concat_ws(":", "source_file", "source_name").alias("target"), F.lit("implements").alias("relation"), F.lit(SERVER_CONFIDENCE).alias("confidence"), F.col("target_line").alias("source_line"))
+
+
 def call_edges(calls: DataFrame, project: str) -> DataFrame:
     """Call hierarchies (caller_file, caller_name, callee_file, callee_name, source_line) as raw edges."""
     return calls.select(F.lit(project).alias("project"), F.col("caller_file").alias("file"), F.col("caller_name").alias("source"), F.concat_ws(":", "callee_file", "callee_name").alias("target"), F.lit("calls").alias("relation"), F.lit(SERVER_CONFIDENCE).alias("confidence"), "source_line")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
-from graphloom.operators import clusters, contracts, flows, reports, search, store, tool_tables, traverse
+from graphloom.operators import clusters, contracts, flows, hooks, reports, search, store, tool_tables, traverse
 from graphloom.plans.derived import SQL, Graph, graph
 from graphloom.schemas import node_key
 from graphloom.storage import materialize
@@ -557,11 +557,25 @@ def camel_to_kebab(g: Graph) -> DataFrame:
     return g.nodes.select("k", fn.camel_to_kebab(F.concat(F.lit("get"), F.initcap("type"), F.lit("ByName"))).alias("kebab"))
 
 
-@query("select conv_id, turn, unnest(list_slice(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: (length(x) >= 3 and regexp_matches(x, '[a-z][A-Z]|_|^[A-Z][a-z]+[A-Z]')) or length(x) >= 5)), 1, 100000)) as word from conversations", over_graph=False)
+_STOPPED = ", ".join(f"'{w}'" for w in hooks.PROMPT_STOPS)
+
+
+@query(f"with w as (select conv_id, turn, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}') as ws from conversations), f as (select conv_id, turn, list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(y)), lower(x)) = i and not list_contains([{_STOPPED}], lower(x))) as ws from w), t as (select conv_id, turn, list_slice(list_concat(list_filter(ws, lambda x: regexp_matches(x, '[A-Z_]')), list_filter(ws, lambda x: not regexp_matches(x, '[A-Z_]') and length(x) >= 5)), 1, 5) as ws from f) select conv_id, turn, cast(unnest(range(len(ws))) as int) as pos, unnest(ws) as word from t", over_graph=False)
 def identifier_extract(g: Graph) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1))
-    kept = F.filter(words, lambda w: ((F.length(w) >= 3) & w.rlike("[a-z][A-Z]|_|^[A-Z][a-z]+[A-Z]")) | (F.length(w) >= 5))
-    return g.table("conversations").select("conv_id", "turn", F.explode(kept).alias("word"))
+    return g.table("conversations").select("conv_id", "turn", F.posexplode(hooks.prompt_names(F.col("text"))).alias("pos", "word"))
+
+
+@query("select cast(count(distinct file) as bigint) as total_files, cast(ceil(count(distinct file) / 10) as bigint) as batches, cast(2 * ceil(count(distinct file) / 10) + 1 as bigint) as agents from n")
+def ai_plan(g: Graph) -> DataFrame:
+    return hooks.pass_plan(g.nodes.select("file").distinct())
+
+
+@query("select event_id, case when event_id % 3 = 0 then event_type when event_id % 3 = 1 then event_type end as term from events", over_graph=False)
+def search_terms(g: Graph) -> DataFrame:
+    k, kind = F.col("event_id") % 3, F.col("event_type")
+    given = F.when(k == 0, F.create_map(F.lit("pattern"), kind)).when(k == 1, F.create_map(F.lit("command"), F.concat(F.lit("grep -rn '"), kind, F.lit("' src")))).otherwise(F.create_map(F.lit("command"), F.lit("ls src")))
+    tool = F.when(k == 0, "Grep").otherwise("Bash")
+    return g.table("events").select("event_id", hooks.search_term(tool, given).alias("term"))
 
 
 @query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as target from pages", over_graph=False)

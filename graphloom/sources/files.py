@@ -47,6 +47,16 @@ def changed_files(root: str, base: str = "HEAD~1") -> list[str]:
     return git_lines(root, "diff", "--name-only", base)
 
 
+def changed_since(root: str, marker: str = ".pass_timestamp") -> list[str]:
+    """Files changed since a marker file's time, else since ten commits ago; none without a marker, which
+    a caller takes for all files."""
+    at = os.path.join(root, marker)
+    if not os.path.exists(at):
+        return []
+    since = git_lines(root, "log", f"--since=@{int(os.path.getmtime(at))}", "--name-only", "--diff-filter=ACMR", "--pretty=format:")
+    return sorted(set(since)) or git_lines(root, "diff", "--name-only", "HEAD~10")
+
+
 def read_files(spark: SparkSession, root: str, project: str, paths: list[str]) -> DataFrame:
     """(project, path, content), read by Spark from a folder that the executors see."""
     if not paths:
