@@ -97,15 +97,15 @@ links as (
     else regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || case when regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) = '' then '/' else regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) end || link
     end as target from named),
 pairs as (
-  select lower(regexp_extract(trim(url), '(?s)^(.*?://[^/?#]*)', 1)) || regexp_extract(trim(url), '(?s)^.*?://[^/?#]*([^#]*)', 1) as a,
-    lower(regexp_extract(trim(target), '(?s)^(.*?://[^/?#]*)', 1)) || regexp_extract(trim(target), '(?s)^.*?://[^/?#]*([^#]*)', 1) as b
+  select translate(regexp_extract(trim(url), '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(trim(url), '(?s)^.*?://[^/?#]*([^#]*)', 1) as a,
+    translate(regexp_extract(trim(target), '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(trim(target), '(?s)^.*?://[^/?#]*([^#]*)', 1) as b
   from links where target like '%://%'),
 both_ways as (select a, b from pairs union select b, a from pairs),
 reach(node, other) as (select a, a from both_ways union select r.node, e.b from reach r join both_ways e on e.a = r.other),
 urls as (
-  select page_id, url, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')) as host,
+  select page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
-    case when url like '%://%' then lower(regexp_extract(trim(url), '(?s)^(.*?://[^/?#]*)', 1)) || regexp_extract(trim(url), '(?s)^.*?://[^/?#]*([^#]*)', 1) end as node
+    case when url like '%://%' then translate(regexp_extract(trim(url), '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(trim(url), '(?s)^.*?://[^/?#]*([^#]*)', 1) end as node
   from pages),
 nodes as (
   select distinct other, regexp_extract(other, '(?s)^.*?://([^/?#]*)', 1) as host, regexp_extract(other, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from reach),
