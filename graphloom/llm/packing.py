@@ -28,8 +28,9 @@ from graphloom.llm.common import arrow_map, materialize, pick
 
 #: (lengths of one sequence, largest first; how many such sequences)
 Pattern = tuple[tuple[int, ...], int]
-NODES = 4000
-FILLINGS = 12
+NODES = 12000
+FILLINGS = 8
+PROOF = 32
 MOST_SALTS = 1024
 
 
@@ -75,12 +76,16 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """Whether the items of b fit into those of a, several into one if need be: then a leaves no harder
-    rest than b."""
-    room = list(a)
+    rest than b. Given up, as not shown, after PROOF steps."""
+    room, steps = list(a), 0
 
     def place(k: int) -> bool:
+        nonlocal steps
         if k == len(b):
             return True
+        steps += 1
+        if steps > PROOF:
+            return False
         tried = set()
         for i, r in enumerate(room):
             if r >= b[k] and r not in tried:
@@ -104,7 +109,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int)
         top = min(left, items[-1]) if items else left
         k = bisect_left(lengths, top + 1) - 1
         grew = False
-        while k >= 0 and steps < 400 and len(found) < 4 * FILLINGS:
+        while k >= 0 and steps < 400 and len(found) < 3 * FILLINGS:
             x = lengths[k]
             k -= 1
             if counts[x] <= items.count(x):
@@ -119,7 +124,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int)
             found.append(items)
 
     grow((), room)
-    found = sorted(set(found), key=lambda f: (-sum(f), len(f)))[: 4 * FILLINGS]
+    found = sorted(set(found), key=lambda f: (-sum(f), len(f)))[: 3 * FILLINGS]
     kept: list[tuple[int, ...]] = []
     for f in found:
         if not any(dominates(g, f) for g in kept):
@@ -130,51 +135,57 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int)
 
 
 def bin_completion(counts: dict[int, int], capacity: int, most: int, nodes: int = NODES) -> list[Pattern] | None:
-    """A packing into fewer than ``most`` sequences, or None if the search finds none."""
+    """A packing into fewer than ``most`` sequences, or None if the search finds none. Counts are changed
+    in place and put back on the way up, so the search holds one histogram."""
+    rest, lengths = dict(counts), sorted(counts)
     total = sum(k * n for k, n in counts.items())
     best: list[Pattern] | None = None
-    spent = 0
+    used: list[Pattern] = []
+    bins = wasted = spent = 0
+    # Of each sequence pattern on the way down: the fillings not tried yet.
+    open_: list[list[tuple[int, ...]]] = []
 
-    def search(rest: dict[int, int], lengths: list[int], used: list[Pattern], bins: int, wasted: int) -> bool:
-        nonlocal best, most, spent
-        spent += 1
-        if not lengths:
+    def change(items: tuple[int, ...], times: int) -> None:
+        """Takes the items out, or with negative times puts them back."""
+        for x in items:
+            was = rest[x]
+            rest[x] = was - times
+            if not rest[x]:
+                del lengths[bisect_left(lengths, x)]
+            elif not was:
+                insort(lengths, x)
+
+    while True:
+        if lengths:
+            allowed, big = (most - 1) * capacity - total - wasted, lengths[-1]
+            spent += 1
+            if allowed >= 0 and spent <= nodes:
+                rest[big] -= 1
+                open_.append(fillings(lengths, rest, capacity - big, allowed)[::-1])
+                rest[big] += 1
+            else:
+                open_.append([])
+        else:
             if bins < most:
                 best, most = list(used), bins
-            return most * capacity - total < capacity
-        allowed = (most - 1) * capacity - total - wasted
-        if allowed < 0 or spent > nodes:
-            return False
-        big = lengths[-1]
-        own = rest | {big: rest[big] - 1}
-        for filling in fillings([x for x in lengths if own[x]], own, capacity - big, allowed):
-            items = (big, *filling)
-            times = min(rest[x] // items.count(x) for x in set(items))
-            waste = capacity - sum(items)
-            if waste:
-                times = max(1, min(times, allowed // waste))
-            after = dict(rest)
-            for x in items:
-                after[x] -= times
-            used.append((items, times))
-            if search(after, [x for x in lengths if after[x]], used, bins + times, wasted + times * waste):
-                return True
-            used.pop()
-            if spent > nodes:
-                return False
-        return False
-
-    import sys
-
-    deep, now = sum(min(n, 64) for n in counts.values()) + 1000, sys.getrecursionlimit()
-    sys.setrecursionlimit(max(now, min(deep, 20000)))
-    try:
-        search(dict(counts), sorted(counts), [], 0, 0)
-    except RecursionError:
-        pass
-    finally:
-        sys.setrecursionlimit(now)
-    return best
+            open_.append([])
+        # Up to the last pattern with a filling left, then down along that one.
+        while open_ and not open_[-1]:
+            open_.pop()
+            if open_:
+                items, times = used.pop()
+                change(items, -times)
+                bins, wasted = bins - times, wasted - times * (capacity - sum(items))
+        if not open_ or spent > nodes or (best is not None and most * capacity - total < capacity):
+            return best
+        allowed, big = (most - 1) * capacity - total - wasted, lengths[-1]
+        items = (big, *open_[-1].pop())
+        times, waste = min(rest[x] // items.count(x) for x in items), capacity - sum(items)
+        if waste:
+            times = max(1, min(times, allowed // waste))
+        change(items, times)
+        used.append((items, times))
+        bins, wasted = bins + times, wasted + times * waste
 
 
 def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
@@ -242,12 +253,11 @@ def pack_pieces(pieces: DataFrame, capacity: int, nodes: int = NODES) -> DataFra
     spark = pieces.sparkSession
     salts = min(MOST_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    rows = salted.groupBy("length", "salt").count().orderBy("length", "salt").collect()
-    first, counts = {}, {}
-    for r in rows:
-        first[r["length"], r["salt"]] = counts.get(r["length"], 0)
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
-    slots = places(pack(counts, capacity, nodes))
+    rows = salted.groupBy("length", "salt").count().toPandas()
+    held = np.zeros((capacity + 1, salts), np.int64)
+    held[rows["length"], rows["salt"]] = rows["count"]
+    first = np.cumsum(held, axis=1) - held
+    slots = places(pack({int(k): int(n) for k, n in enumerate(held.sum(axis=1)) if n}, capacity, nodes))
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
     shared = spark.sparkContext.broadcast((first, slots))
     kept = [c for c in ranked.columns if c not in ("salt", "rank")]
@@ -256,8 +266,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, nodes: int = NODES) -> DataFra
         first, slots = shared.value
         for b in batches:
             lengths, salt, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "rank"))
-            base = np.array([first[k] for k in zip(lengths.tolist(), salt.tolist())], np.int64)
-            nth = base + rank - 1
+            nth = first[lengths, salt] + rank - 1
             sequence, offset = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
             for length in np.unique(lengths):
                 at, slot = lengths == length, slots[int(length)]
