@@ -20,39 +20,55 @@ def simple_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8, resolution: float = 1.0) -> DataFrame:
-    """(id, cluster_id) by local moving on modularity, set at a time: in a round every node weighs the
-    communities of its neighbours by links less what chance gives, and those whose hash has the round's
-    parity move to the best one if that gains. Parity keeps two neighbours from swapping for ever. The
-    numbers go by size, ties by least id. Isolated nodes are communities of their own."""
-    pairs = simple_edges(nodes, edges)
-    both = materialize(pairs.union(pairs.select("b", "a")).toDF("id", "other"), "pairs")
-    m2 = max(1, both.count())
-    degree = materialize(both.groupBy("id").agg(F.count("*").alias("k")), "degree")
-    state = materialize(nodes.select("id", F.col("id").alias("c")).join(degree, "id", "left").select("id", "c", F.coalesce("k", F.lit(0)).alias("k")), "state")
-    for r in range(rounds):
-        weight = state.groupBy("c").agg(F.sum("k").alias("total"))
-        links = both.join(state.select(F.col("id").alias("other"), "c"), "other").groupBy("id", "c").agg(F.count("*").alias("links"))
-        own = state.select("id", F.col("c").alias("own"), "k")
-        gain = links.join(weight, "c").join(own, "id")
-        rest = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
-        gain = gain.withColumn("gain", F.col("links") - resolution * F.col("k") * rest / m2)
-        best = gain.groupBy("id").agg(F.max_by(F.struct("c", "gain"), F.struct("gain", (F.col("c") == F.col("own")).alias("stay"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"))
-        turn = (F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2) | F.lit(r == 0)
-        moves = best.where(F.col("b.gain") > F.coalesce("now", F.lit(0.0)) + 1e-9).select("id", F.col("b.c").alias("to"))
-        now = state.join(moves, "id", "left").select("id", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("c")).alias("c"), "k")
-        if r == 0:
-            # All nodes began alone: moving all to a neighbour would swap pairs, so the lesser id leads.
-            now = state.join(moves, "id", "left").select("id", F.when(F.col("to") < F.col("id"), F.col("to")).otherwise(F.col("c")).alias("c"), "k")
-        changed = now.join(state.select("id", F.col("c").alias("was")), "id").where("c <> was")
-        now = materialize(now, "state")
-        still = changed.isEmpty()
-        state = now
-        if still and r > 1:
+def communities(nodes: DataFrame, edges: DataFrame, levels: int = 4, rounds: int = 12, resolution: float = 1.0) -> DataFrame:
+    """(id, cluster_id) by modularity: nodes move between communities until none gains, then communities
+    become nodes of a smaller weighted graph, and so on for some levels. The numbers go by size, ties by
+    least id; isolated nodes are communities of their own."""
+    pairs = simple_edges(nodes, edges).select(F.col("a").alias("id"), F.col("b").alias("other"))
+    links = materialize(pairs.union(pairs.select("other", "id")).withColumn("w", F.lit(1).cast("long")), "links")
+    m2 = max(1, links.count())
+    degree = materialize(links.groupBy("id").agg(F.sum("w").alias("k")), "degree")
+    label, left = nodes.select("id", F.col("id").alias("c")), degree.count()
+    for _ in range(levels):
+        state = settled(links, degree, m2, rounds, resolution)
+        label = materialize(label.join(state.select(F.col("id").alias("c"), F.col("c").alias("to")), "c", "left").select("id", F.coalesce("to", "c").alias("c")), "label")
+        degree = materialize(degree.join(state, "id").groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")), "degree")
+        before, left = left, degree.count()
+        if left == before:
             break
-    sizes = state.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        ends = links.join(state, "id").select("other", F.col("c").alias("a"), "w").join(state.select(F.col("id").alias("other"), F.col("c").alias("b")), "other")
+        links = materialize(ends.where("a <> b").groupBy(F.col("a").alias("id"), F.col("b").alias("other")).agg(F.sum("w").alias("w")), "links")
+    sizes = label.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     numbered = sizes.select("c", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).alias("cluster_id"))
-    return state.join(numbered, "c").select("id", "cluster_id")
+    return label.join(numbered, "c").select("id", "cluster_id")
+
+
+def settled(links: DataFrame, degree: DataFrame, m2: int, rounds: int, resolution: float) -> DataFrame:
+    """(id, c) by local moving, set at a time: every node weighs the communities of its neighbours by
+    links less what chance gives. In a round communities are on one of two sides, by hash; nodes of the
+    one side may move to the best community of the other, where none moves away meanwhile. The next round
+    turns the sides round, the one after deals them anew."""
+    state = degree.select("id", F.col("id").alias("c"), "k")
+    for r in range(rounds):
+        side = lambda c: F.pmod(F.xxhash64(c, F.lit(r // 2)) + r % 2, F.lit(2))
+        total = state.groupBy("c").agg(F.sum("k").alias("total"))
+        near = links.join(state.select(F.col("id").alias("other"), "c"), "other").groupBy("id", "c").agg(F.sum("w").alias("w"))
+        gain = near.join(total, "c").join(state.select("id", F.col("c").alias("own"), "k"), "id")
+        at_home = F.col("c") == F.col("own")
+        gain = gain.withColumn("gain", F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(at_home, F.col("k")).otherwise(0)) / m2)
+        open_ = ~at_home & (side("own") == 0) & (side("c") == 1)
+        best = gain.groupBy("id").agg(
+            F.min_by(F.struct("c", "gain"), F.when(open_, F.struct(-F.col("gain"), F.col("c")))).alias("b"),
+            F.max(F.when(at_home, F.col("gain"))).alias("now"), F.max(F.when(~at_home, F.col("gain"))).alias("any"),
+        )
+        least = F.coalesce("now", F.lit(0.0)) + 1e-9
+        best = best.select("id", F.when(F.col("b.gain") > least, F.col("b.c")).alias("to"), (F.col("any") > least).alias("wants"))
+        after = state.join(best, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k", F.coalesce("wants", F.lit(False)).alias("wants"))
+        after = materialize(after, "state")
+        state = after.drop("wants")
+        if after.where("wants").isEmpty():
+            break
+    return state.select("id", "c")
 
 
 def cluster_labels(nodes: DataFrame, members: DataFrame) -> DataFrame:

@@ -184,3 +184,25 @@ def test_change_risk(spark, g):
     assert reports.change_risk(changed.limit(0), symbols.limit(0), hit.limit(0), nodes).first()["risk"] == "NONE"
     assert reports.change_risk(changed, symbols, hit, hit).first()["risk"] == "CRITICAL"
     assert "validate" in reports.render_report(nodes, edges, None, "proj")
+
+
+def modularity(pairs, of):
+    m, degree = len(pairs), {}
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    inside = sum(of[a] == of[b] for a, b in pairs) / m
+    total = {}
+    for x, k in degree.items():
+        total[of[x]] = total.get(of[x], 0) + k
+    return inside - sum(k * k for k in total.values()) / (4 * m * m)
+
+
+def test_communities_of_a_ring_of_cliques(spark):
+    """Eight cliques of five in a ring: their modularity is nearly reached."""
+    symbols = [(f"n{i}", f"d{i // 5}/x.py", i, "function") for i in range(40)]
+    pairs = [(f"n{5 * c + i}", f"n{5 * c + j}") for c in range(8) for i in range(5) for j in range(i)] + [(f"n{5 * c}", f"n{(5 * c + 6) % 40}") for c in range(8)]
+    nodes, e, ids = graph_of(spark, symbols, [(a, b, "calls", 1.0, 1) for a, b in pairs])
+    got = {r["id"]: r["cluster_id"] for r in clusters.communities(nodes, e).collect()}
+    assert len(got) == 40
+    ideal = modularity(pairs, {f"n{i}": i // 5 for i in range(40)})
+    assert modularity(pairs, {n: got[i] for n, i in ids.items()}) > 0.9 * ideal
