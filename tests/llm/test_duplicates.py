@@ -152,6 +152,27 @@ def test_passages(spark, docs_of):
     assert passages.repeated_passages(docs_of([])).count() == 0
 
 
+def test_passages_whose_pieces_other_texts_hold(spark, docs_of):
+    """Texts that share 60 words meet though others hold either half, whichever text has the least hash."""
+    r = random.Random(12)
+    docs, pairs = [], []
+    for p in range(8):
+        shared = words(r, 60)
+        for part in [shared] * 2 + [shared[:30], shared[30:]] * 12:
+            docs.append((len(docs), " ".join(words(r, 40) + part + words(r, 40))))
+        pairs.append((len(docs) - 26, len(docs) - 25))
+    got = passages.repeated_passages(docs_of(docs)).collect()
+    assert {tuple(sorted((x.doc_id, x.other_doc_id))) for x in got} == set(pairs)
+    assert all(x.n_words >= 60 for x in got)
+
+
+def test_windows_that_a_text_repeats():
+    h, doc, pos, near = passages.windows(*passages.batch_words(["v " * 80, "w", " ".join(map(str, range(50)))]))
+    assert doc.tolist() == [0] * 31 + [2] and len(set(h[:31])) == 1 and len(set(near[:31])) == 1
+    plain, again = passages.numbered(h[:31], doc[:31], pos[:31], near[:31])
+    assert plain[2].tolist() == [0] and sorted(again[2].tolist()) == list(range(1, 31)) and len(set(again[0])) == 30
+
+
 def test_chains_against_quadratic():
     r = random.Random(2)
     for _ in range(200):
