@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import decontaminate, passages, simhash_dedup
+from graphloom.llm import decontaminate, near_copies, passages, simhash_dedup
 
 
 def words(r, n):
@@ -59,6 +59,54 @@ def test_classes(spark, docs_of, monkeypatch, bucket):
     assert len(kept) == len({c[2] for c in plain_classes(rows)})
 
 
+def plain_firsts(rows):
+    """The least doc_id of each group of texts whose sets of five-word shingles have a similarity of 0.8."""
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            either = len(sets[i] | sets[j])
+            if len(sets[i] & sets[j]) >= 0.8 * either - 1e-12:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("bucket", [32, 1])
+def test_near_copies(spark, docs_of, monkeypatch, bucket):
+    """Copies with up to eight words changed, on both sides of 0.8; also with all bands crowded."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    r = random.Random(21)
+    rows, line = [], words(r, 20)
+    for i in range(40):
+        w = words(r, r.choice([40, 200, 500])) + line
+        rows.append((10 * i + 1, " ".join(w)))
+        for j in range(i % 4):
+            e = list(w)
+            for at in r.sample(range(len(e)), r.choice([1, 2, 4, 8])):
+                e[at] = "changed"
+            rows.append((10 * i + 2 + j, " ".join(e).upper()))
+    rows += [(900, None), (901, " "), (902, "two words"), (903, "Two  words"), (904, rows[0][1]), (905, "v " * 3000)]
+    assert [x.doc_id for x in near_copies.keep_first(docs_of(rows)).orderBy("doc_id").collect()] == plain_firsts(rows)
+    assert near_copies.keep_first(docs_of([])).count() == 0
+    docs = docs_of(rows).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == plain_firsts(rows)
+
+
 def test_thresholds_cover_the_radius():
     """Every pair within the radius agrees within the threshold on some group, whatever is allocated."""
     r = random.Random(1)
