@@ -136,3 +136,10 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """documents without those that hold an item. Rows without doc_id are kept."""
     found = matches(docs, items).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """documents without the rows whose own text holds an item, whatever their doc_id: null, or one that
+    other texts have too."""
+    found = matches(pick(docs, doc_id=F.xxhash64("text"), text="text"), items).select(F.col("doc_id").alias("held_by")).distinct()
+    return docs.join(found, F.xxhash64("text") == F.col("held_by"), "left_anti").select(*docs.columns)

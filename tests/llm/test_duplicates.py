@@ -167,6 +167,23 @@ def test_decontamination(spark, docs_of):
     assert left == {d for d, _ in docs if d is None or d not in {x.doc_id for x in got}}
 
 
+def test_clean_texts_whatever_the_id(spark, docs_of):
+    import corpus_pipeline
+
+    r = random.Random(16)
+    item = " ".join(words(r, 30))
+    held = lambda: " ".join(words(r, 20)) + " " + item
+    free = [" ".join(words(r, 50)) for _ in range(4)]
+    docs = docs_of([(None, held()), (None, free[0]), (1, held()), (1, free[1]), (2, free[2]), (3, None), (4, held())])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.clean_texts(docs, items)
+    assert left.columns == docs.columns
+    want = sorted([(None, free[0]), (1, free[1]), (2, free[2]), (3, None)], key=str)
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == want
+    assert sorted(((x.doc_id, x.text) for x in decontaminate.clean_texts(docs, items.limit(0)).collect()), key=str) == sorted(((x.doc_id, x.text) for x in docs.collect()), key=str)
+    assert "clean_texts" in corpus_pipeline.decontaminated.__code__.co_names
+
+
 def test_block_index_meets_all_within_the_radius():
     r = random.Random(3)
     for _ in range(2000):
