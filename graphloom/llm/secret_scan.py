@@ -117,11 +117,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """documents with every span of a secret replaced; endpoints stay. Other columns are kept, n_chars follows."""
+    """documents with every span of a secret replaced, reported endpoints whole: user, path and query may
+    hold a secret themselves. Other columns are kept, n_chars follows."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else replace_spans(t, [s for s in scan(t)[1] if s[0] != "endpoint"]))
+        return texts.map(lambda t: t if t is None else replace_spans(t, scan(t)[1]))
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     out = docs.withColumn("text", clean(F.col("text")))

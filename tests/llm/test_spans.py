@@ -107,3 +107,10 @@ def test_redaction(spark, docs_of):
     assert replace_spans("ab token=x cd", [("assign", 3, 10), ("hex", 9, 10)]) == "ab [ASSIGN] cd"
     got = secret_scan.redact_secrets(docs_of([(1, "a token = 0123456789abcdef b"), (2, None), (3, "plain")])).orderBy("doc_id").collect()
     assert [r.text for r in got] == ["a [ASSIGN] b", None, "plain"]
+
+
+def test_redaction_of_endpoints(docs_of):
+    text = f"see https://docs.example.com/a\n\nuser: robert at db://robert:hunter2@db.example.com/x?key=abc9 token = {'0f' * 10}Z"
+    rest = secret_scan.redact_secrets(docs_of([(1, text)])).first().text
+    assert "hunter2" not in rest and "abc9" not in rest and "[ENDPOINT]" in rest
+    assert rest.startswith("see https://docs.example.com/a\n\n")
