@@ -191,17 +191,30 @@ TRACES = f""", {ENTRY}, en as (select id from ep where sc > 1 order by sc desc,
  tr as (select p from t3 where not exists (select 1 from t4 where t4.p[1:3] = t3.p) union all select p from t4)"""
 
 
-def _traces(g: Graph) -> DataFrame:
-    return flows.traces(g.edges, flows.entry_points(g.nodes, g.edges).select("id"), max_depth=4)
+#: Nodes of a path at most: the SQL spells out four; the queries named _whole go as deep as the operator, without SQL.
+SHALLOW, WHOLE = 4, 10
 
 
-@query(TRACES + " select a.name as entry, b.name as terminal, cast(len(p) as int) as step_count, array_to_string(p, '>') as path from tr join n a on a.id = p[1] join n b on b.id = p[-1]")
-def traces(g: Graph) -> DataFrame:
+def _traces(g: Graph, depth: int = SHALLOW) -> DataFrame:
+    return flows.traces(g.edges, flows.entry_points(g.nodes, g.edges).select("id"), max_depth=depth)
+
+
+def _named_traces(g: Graph, depth: int = SHALLOW) -> DataFrame:
     name = lambda c: g.nodes.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
-    rows = _traces(g).select(F.col("path")[0].alias("a"), F.element_at("path", -1).alias("b"), F.size("path").alias("step_count"), F.concat_ws(">", "path").alias("path"))
+    rows = _traces(g, depth).select(F.col("path")[0].alias("a"), F.element_at("path", -1).alias("b"), F.size("path").alias("step_count"), F.concat_ws(">", "path").alias("path"))
     return rows.join(name("a"), "a").join(name("b"), "b").select(F.col("a_name").alias("entry"), F.col("b_name").alias("terminal"), "step_count", "path")
 
 
+@query(TRACES + " select a.name as entry, b.name as terminal, cast(len(p) as int) as step_count, array_to_string(p, '>') as path from tr join n a on a.id = p[1] join n b on b.id = p[-1]")
+def traces(g: Graph) -> DataFrame:
+    return _named_traces(g)
+
+
+@query()
+def traces_whole(g: Graph) -> DataFrame:
+    return _named_traces(g, WHOLE)
+
+
 KEPT = TRACES + """, tn as (select p, a.name as entry, b.name as terminal, array_to_string(p, '>') as tid from tr join n a on a.id = p[1] join n b on b.id = p[-1]),
  lg as (select * from (select *, row_number() over (partition by entry, terminal order by len(p) desc, tid) as rn from tn) where rn = 1),
  kp as (select * from lg where not exists (select 1 from lg o where len(o.p) > len(lg.p) and list_has_all(o.p, lg.p)))"""
@@ -209,13 +222,22 @@ KEPT = TRACES + """, tn as (select p, a.name as entry, b.name as terminal, array
 
 @query(KEPT + " select entry, terminal, cast(len(p) as int) as step_count, tid as path from kp")
 def traces_dedup(g: Graph) -> DataFrame:
-    return flows.dedup_traces(g.nodes, _traces(g)).select("entry", "terminal", F.size("path").alias("step_count"), F.col("trace_id").alias("path"))
+    return _kept_traces(g)
+
+
+@query()
+def traces_dedup_whole(g: Graph) -> DataFrame:
+    return _kept_traces(g, WHOLE)
+
 
+def _kept_traces(g: Graph, depth: int = SHALLOW) -> DataFrame:
+    return flows.dedup_traces(g.nodes, _traces(g, depth)).select("entry", "terminal", F.size("path").alias("step_count"), F.col("trace_id").alias("path"))
 
-def _processes(g: Graph) -> tuple[DataFrame, DataFrame]:
+
+def _processes(g: Graph, depth: int = SHALLOW) -> tuple[DataFrame, DataFrame]:
     spans = g.nodes.select(F.col("id").alias("node_id"), F.substring("project", 5, 9).cast("int").alias("cluster_id"), "line")
     spans = spans.select("node_id", (F.col("cluster_id") * 100 + F.col("line") % 3).alias("cluster_id"))
-    return flows.processes(g.nodes, flows.dedup_traces(g.nodes, _traces(g)), "all", flows.process_cap(g.nodes.count()), spans)
+    return flows.processes(g.nodes, flows.dedup_traces(g.nodes, _traces(g, depth)), "all", flows.process_cap(g.nodes.count()), spans)
 
 
 PROCESSES = KEPT + ", pr as (select concat(entry, ' → ', terminal) as label, p, tid from kp order by len(p) desc, tid limit (select greatest(20, count(*) // 10) from n)), st as (select label, tid, len(p) as step_count, unnest(p) as id from pr), cc as (select tid, label, step_count, count(distinct concat(project, line % 3)) > 1 as cross_community from st join n using (id) group by all)"
@@ -231,21 +253,44 @@ def cross_community(g: Graph) -> DataFrame:
     return _processes(g)[0].select("label", "cross_community")
 
 
+@query()
+def processes_whole(g: Graph) -> DataFrame:
+    return _processes(g, WHOLE)[0].select("label", "step_count", "cross_community")
+
+
 @query(PROCESSES + ", few as (select id from n where k % 7 = 3 order by id limit 50) select label, cast(step_count as int) as step_count from st where id in (select id from few) group by tid, label, step_count")
 def flows_affected(g: Graph) -> DataFrame:
-    found, steps = _processes(g)
+    return _affected_flows(g)
+
+
+@query()
+def flows_affected_whole(g: Graph) -> DataFrame:
+    return _affected_flows(g, WHOLE)
+
+
+def _affected_flows(g: Graph, depth: int = SHALLOW) -> DataFrame:
+    found, steps = _processes(g, depth)
     return reports.flows_affected(found, steps, g.nodes.where("k % 7 = 3").select("id"))
 
 
 @query()
 def process_seeds(g: Graph) -> DataFrame:
-    found, steps = _processes(g)
+    found, steps = _processes(g, WHOLE)
     return search.process_seeds(found, steps, ["red", "blue"])
 
 
 @query(PROCESSES + " select label, cast(step_count as int) as step_count from cc where contains(lower(label), 'a') order by step_count desc, label limit 20")
 def processes_search(g: Graph) -> DataFrame:
-    rows = _processes(g)[0].where(F.lower("label").contains("a"))
+    return _found_processes(g)
+
+
+@query()
+def processes_search_whole(g: Graph) -> DataFrame:
+    return _found_processes(g, WHOLE)
+
+
+def _found_processes(g: Graph, depth: int = SHALLOW) -> DataFrame:
+    rows = _processes(g, depth)[0].where(F.lower("label").contains("a"))
     return rows.orderBy(F.desc("step_count"), "label").limit(20).select("label", "step_count")
 
 

@@ -44,6 +44,39 @@ def test_every_query_has_a_name_and_a_plan(spark):
     assert path.columns == ["step", "name", "file", "line"]
 
 
+def test_whole_traces_by_brute_force(spark):
+    """Paths of up to ten nodes, those kept of them, and the processes made of those."""
+    from collections import Counter, defaultdict
+
+    from graphloom.operators import flows
+    from graphloom.plans.derived import graph
+
+    g = graph(spark, DATA)
+    calls = [(r.src, r.dst) for r in g.edges.where("relation = 'calls'").collect()]
+    degree, after = Counter(x for c in calls for x in c), defaultdict(set)
+    for a, b in calls:
+        after[a].add(b)
+    names = {r.id: r.name for r in g.nodes.collect()}
+    found, todo = set(), [(r.id,) for r in flows.entry_points(g.nodes, g.edges).collect()]
+    while todo:
+        p = todo.pop()
+        on = sorted(after[p[-1]] - set(p), key=lambda x: (-degree[x], x))[:3] if len(p) < 10 else []
+        todo += [(*p, x) for x in on]
+        if not on and len(p) >= 3:
+            found.add(p)
+    assert any(len(p) > 4 for p in found)
+    rows = catalog.QUERIES["traces_whole"](spark, DATA).collect()
+    assert sorted(map(tuple, rows)) == sorted((names[p[0]], names[p[-1]], len(p), ">".join(p)) for p in found)
+    longest = {}
+    for p in sorted(found, key=lambda p: (-len(p), ">".join(p))):
+        longest.setdefault((names[p[0]], names[p[-1]]), p)
+    kept = {p for p in longest.values() if not any(len(o) > len(p) and set(p) <= set(o) for o in longest.values())}
+    assert {r.path for r in catalog.QUERIES["traces_dedup_whole"](spark, DATA).collect()} == {">".join(p) for p in kept}
+    most = sorted(kept, key=lambda p: (-len(p), ">".join(p)))[: max(20, len(names) // 10)]
+    labels = sorted((f"{names[p[0]]} → {names[p[-1]]}", len(p)) for p in most)
+    assert sorted((r.label, r.step_count) for r in catalog.QUERIES["processes_whole"](spark, DATA).collect()) == labels
+
+
 def test_entry_without_the_optional_part(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 60 and not any(n.startswith('op') for n in q) and 'pipeline' not in q; e.oracle_sql()"
