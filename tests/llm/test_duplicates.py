@@ -231,6 +231,20 @@ def test_passages_whose_pieces_other_texts_hold(spark, docs_of):
     assert all(x.n_words >= 60 for x in got)
 
 
+def test_fuzzy_passages_with_one_common_run_of_13_words(spark, docs_of):
+    """Then an edit every six words, an identity over 0.8."""
+    r = random.Random(77)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for _ in range(20):
+        a = fresh(60)
+        b = [f"x{r.randrange(10**6)}" if i >= 18 and i % 6 == 0 else x for i, x in enumerate(a)]
+        docs += [(len(docs) + j, " ".join(fresh(40) + p + fresh(40))) for j, p in enumerate((a, b))]
+    got = passages.repeated_passages(docs_of(docs)).collect()
+    hit = {tuple(sorted((x.doc_id, x.other_doc_id))) for x in got}
+    assert hit == {(i, i + 1) for i in range(0, 40, 2)}
+
+
 def test_windows_that_a_text_repeats():
     h, doc, pos, near = passages.windows(*passages.batch_words(["v " * 80, "w", " ".join(map(str, range(50)))]))
     assert doc.tolist() == [0] * 31 + [2] and len(set(h[:31])) == 1 and len(set(near[:31])) == 1
