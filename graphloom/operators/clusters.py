@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import split_camel
-from graphloom.storage import materialize
+from graphloom.operators.ranks import numbered
+from graphloom.storage import materialize, release
+
+#: A graph of so many links, counted, is settled by the driver, one node after another: about 50 MB.
+FEW_LINKS = 500_000
 
 #: Folders and name parts that say nothing about a cluster.
 STOP_DIRS = ("src", "lib", "app", "components", "pages", "utils", "shared", "common", "index")
@@ -30,7 +35,8 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 4, rounds: int
     degree = materialize(links.groupBy("id").agg(F.sum("w").alias("k")), "degree")
     label, left = nodes.select("id", F.col("id").alias("c")), degree.count()
     for _ in range(levels):
-        state = settled(links, degree, m2, rounds, resolution)
+        way = settled_here if links.count() <= FEW_LINKS else settled
+        state = materialize(way(links, degree, m2, rounds, resolution), "settled")
         label = materialize(label.join(state.select(F.col("id").alias("c"), F.col("c").alias("to")), "c", "left").select("id", F.coalesce("to", "c").alias("c")), "label")
         degree = materialize(degree.join(state, "id").groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")), "degree")
         before, left = left, degree.count()
@@ -39,8 +45,36 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 4, rounds: int
         ends = links.join(state, "id").select("other", F.col("c").alias("a"), "w").join(state.select(F.col("id").alias("other"), F.col("c").alias("b")), "other")
         links = materialize(ends.where("a <> b").groupBy(F.col("a").alias("id"), F.col("b").alias("other")).agg(F.sum("w").alias("w")), "links")
     sizes = label.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    numbered = sizes.select("c", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).alias("cluster_id"))
-    return label.join(numbered, "c").select("id", "cluster_id")
+    places = numbered(sizes, [F.desc("n"), F.col("least")], "cluster_id").select("c", F.col("cluster_id").cast("int").alias("cluster_id"))
+    return label.join(places, "c").select("id", "cluster_id")
+
+
+def settled_here(links: DataFrame, degree: DataFrame, m2: int, rounds: int, resolution: float) -> DataFrame:
+    """(id, c) as ``settled`` gives it, for at most FEW_LINKS links, which come to the driver: nodes move
+    one after another, in order of id."""
+    rows, k = links.select("id", "other", "w").toArrow(), degree.select("id", "k").orderBy("id").toArrow()
+    ids = k.column("id").to_pylist()
+    at = {x: i for i, x in enumerate(ids)}
+    near: list[list[tuple[int, int]]] = [[] for _ in ids]
+    for a, b, w in zip(*(rows.column(c).to_pylist() for c in ("id", "other", "w"))):
+        near[at[a]].append((at[b], w))
+    own, weight = list(range(len(ids))), k.column("k").to_pylist()
+    total = list(weight)
+    for _ in range(rounds):
+        moved = 0
+        for i, around in enumerate(near):
+            pull: dict[int, int] = {own[i]: 0}
+            for j, w in around:
+                pull[own[j]] = pull.get(own[j], 0) + w
+            total[own[i]] -= weight[i]
+            gain = {c: w - resolution * weight[i] * total[c] / m2 for c, w in pull.items()}
+            best = min(gain, key=lambda c: (-gain[c], c))
+            if gain[best] > gain[own[i]] + 1e-9:
+                own[i], moved = best, moved + 1
+            total[own[i]] += weight[i]
+        if not moved:
+            break
+    return links.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.string()), "c": pa.array([ids[c] for c in own], pa.string())}))
 
 
 def settled(links: DataFrame, degree: DataFrame, m2: int, rounds: int, resolution: float) -> DataFrame:
@@ -49,6 +83,7 @@ def settled(links: DataFrame, degree: DataFrame, m2: int, rounds: int, resolutio
     one side may move to the best community of the other, where none moves away meanwhile. The next round
     turns the sides round, the one after deals them anew."""
     state = degree.select("id", F.col("id").alias("c"), "k")
+    before = None
     for r in range(rounds):
         side = lambda c: F.pmod(F.xxhash64(c, F.lit(r // 2)) + r % 2, F.lit(2))
         total = state.groupBy("c").agg(F.sum("k").alias("total"))
@@ -65,7 +100,8 @@ def settled(links: DataFrame, degree: DataFrame, m2: int, rounds: int, resolutio
         best = best.select("id", F.when(F.col("b.gain") > least, F.col("b.c")).alias("to"), (F.col("any") > least).alias("wants"))
         after = state.join(best, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k", F.coalesce("wants", F.lit(False)).alias("wants"))
         after = materialize(after, "state")
-        state = after.drop("wants")
+        release(before)
+        before, state = after, after.drop("wants")
         if after.where("wants").isEmpty():
             break
     return state.select("id", "c")

@@ -54,11 +54,13 @@ def dedup_traces(nodes: DataFrame, found: DataFrame) -> DataFrame:
     ends = ends.join(names.select(F.col("id").alias("first"), F.col("name").alias("entry")), "first").join(names.select(F.col("id").alias("last"), F.col("name").alias("terminal")), "last")
     longest = ends.groupBy("entry", "terminal").agg(F.min_by(F.struct("path", "trace_id"), F.struct(-F.size("path"), F.col("trace_id"))).alias("t")).select("entry", "terminal", "t.*")
     longest = materialize(longest, "longest")
-    # A trace lies in another only if that one holds all its steps: count the steps in common.
-    steps = longest.select("trace_id", F.size("path").alias("n"), F.explode(F.array_distinct("path")).alias("step"))
-    pairs = steps.alias("a").join(steps.alias("b"), (F.col("a.step") == F.col("b.step")) & (F.col("a.n") < F.col("b.n")))
-    inside = pairs.groupBy(F.col("a.trace_id").alias("trace_id"), F.col("b.trace_id").alias("other"), F.col("a.n").alias("n")).count().where("count = n").select("trace_id").distinct()
-    return longest.join(inside, "trace_id", "left_anti")
+    # A trace that lies in another has its rarest step there too.
+    steps = longest.select("trace_id", "path", F.explode("path").alias("step"))
+    seen = steps.groupBy("step").agg(F.count("*").alias("traces"))
+    rare = steps.join(seen, "step").groupBy("trace_id", "path").agg(F.min_by("step", F.struct("traces", "step")).alias("step"))
+    other = steps.select(F.col("path").alias("longer"), "step")
+    inside = rare.join(other, "step").where((F.size("path") < F.size("longer")) & (F.size(F.array_except("path", "longer")) == 0))
+    return longest.join(inside.select("trace_id").distinct(), "trace_id", "left_anti")
 
 
 def processes(nodes: DataFrame, kept: DataFrame, project: str, most: int, clusters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

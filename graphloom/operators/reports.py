@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.store import first_per
 from graphloom.operators.traverse import bfs, degrees, hubs
+from graphloom.schemas import node_key
 
 
 def relation_counts(edges: DataFrame) -> DataFrame:
@@ -57,9 +58,11 @@ def changed_symbols(nodes: DataFrame, changed: DataFrame, project: str, most_fil
     return first_per(rows, ["file"], [F.col("line"), F.col("name"), F.col("id")], per_file).select("id", "name", "file", "line")
 
 
-def affected(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = 2) -> DataFrame:
-    """What leads to changed symbols, each name and file once: id, name, file, depth."""
-    reached = bfs(symbols.select("id"), edges, depth).join(nodes, "id")
+def affected(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, project: str, depth: int = 2) -> DataFrame:
+    """What leads to changed symbols (id, file), or to their files, which imports point at; each name and
+    file once: id, name, file, depth."""
+    seeds = symbols.select("id").union(symbols.select(node_key(F.lit(project), "file", "file"))).distinct()
+    reached = nodes.join(bfs(seeds, edges, depth), "id")
     return reached.groupBy("name", "file").agg(F.min("depth").alias("depth"), F.min("id").alias("id")).select("id", "name", "file", "depth")
 
 
@@ -96,12 +99,12 @@ def linked_contracts(contracts: DataFrame, links: DataFrame, touched: DataFrame,
 def group_impact(nodes: DataFrame, edges: DataFrame, contracts: DataFrame, links: DataFrame, seeds: DataFrame, project: str, members: list[str], depth: int = 2) -> DataFrame:
     """project, name, file, depth of what a symbol reaches in its own project, and over linked contracts in
     the group's others: one traversal from all linked symbols at once."""
-    local = bfs(seeds.select("id"), edges, depth).join(nodes, "id").select("project", "name", "file", "depth")
+    local = nodes.join(bfs(seeds.select("id"), edges, depth), "id").select("project", "name", "file", "depth")
     names = local.select("name", "file").union(seeds.join(nodes, "id").select("name", "file"))
     touched = names.select(F.explode(F.array(F.struct(F.lit("file").alias("kind"), F.col("file").alias("value")), F.struct(F.lit("name").alias("kind"), F.col("name").alias("value")))).alias("t")).select("t.*").distinct()
     linked = linked_contracts(contracts, links, touched, project).where(F.col("project").isin(members))
     there = contracts.join(linked, ["project", "contract_id"], "left_semi").where("symbol_node is not null").select(F.col("symbol_node").alias("id")).distinct()
-    far = bfs(there, edges, depth).join(nodes, "id").select("project", "name", "file", "depth")
+    far = nodes.join(bfs(there, edges, depth), "id").select("project", "name", "file", "depth")
     return local.unionByName(far).groupBy("project", "name", "file").agg(F.min("depth").alias("depth"))
 
 

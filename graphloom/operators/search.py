@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import is_test_file
-from graphloom.operators.traverse import bfs, related
+from graphloom.operators.traverse import related
+from graphloom.storage import Levels
 
 #: Words left out of a search, and those left out of a question besides.
 SEARCH_STOPS = ("the", "and", "for", "how", "does", "what", "show", "find", "all", "this", "with", "from")
@@ -101,13 +102,39 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"))
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """Edges around the seeds over calls, imports and reads, both ways: source, relation, target."""
-    used = related(edges, ["calls", "imports", "reads"])
-    within = bfs(seeds.select("id"), used, max(0, depth - 1), "both", ["calls", "imports", "reads"]).select("id").union(seeds.select("id")).distinct()
-    near = used.join(within.select(F.col("id").alias("src")), "src", "left_semi").union(used.join(within.select(F.col("id").alias("dst")), "dst", "left_semi").select(*used.columns)).select("src", "dst", "relation").distinct()
-    label = lambda side: nodes.select(F.col("id").alias(side), F.col("name").alias(f"{side}_name"))
-    return near.join(label("src"), "src").join(label("dst"), "dst").select(F.col("src_name").alias("source"), "relation", F.col("dst_name").alias("target"))
+#: How an edge is said from its source and from its target, in order.
+SAID = (("calls", "calls", "called_by"), ("imports", "imports", "imported_by"), ("reads", "reads", "read_by"))
+#: How many nodes of a hop a depth-first question goes on from.
+NARROW = 3
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, mode: str = "bfs") -> tuple[DataFrame, DataFrame]:
+    """Around the seeds over calls, imports and reads, both ways: found nodes (id, name, type, file, line,
+    hop), and edges as they are met (hop, way, source, label, target). With mode "dfs" a hop goes on from
+    NARROW nodes, the last by id."""
+    relations = [r for r, _, _ in SAID]
+    used = related(edges, relations).select("src", "dst", "relation")
+    way = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(relations) for x in (r, 2 * i)]), F.col("relation"))
+    both = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), way.alias("way")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), (way + 1).alias("way"))))
+    ways = used.select(both.alias("w")).select("w.*")
+    seen = Levels(nodes.sparkSession, "id string", "near")
+    seen.add(seeds.select("id").distinct())
+    met = None
+    for hop in range(depth):
+        last = seen.at(hop).select("id")
+        if mode == "dfs" and hop:
+            last = last.orderBy(F.desc("id")).limit(NARROW)
+        now = ways.join(last.select(F.col("id").alias("a")), "a").distinct().withColumn("hop", F.lit(hop))
+        met = now if met is None else met.unionByName(now)
+        if not seen.add(now.select(F.col("b").alias("id")).distinct().join(seen.since().select("id"), "id", "left_anti")):
+            break
+    found = nodes.join(seen.since().select("id", F.col("depth").alias("hop")), "id").select("id", "name", "type", "file", "line", "hop")
+    if met is None:
+        return found, nodes.limit(0).select(F.lit(0).alias("hop"), F.lit(0).alias("way"), F.col("name").alias("source"), F.lit("").alias("label"), F.col("name").alias("target"))
+    label = F.element_at(F.array(*[F.lit(x) for _, out, back in SAID for x in (out, back)]), F.col("way") + 1)
+    name = lambda c: found.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    said = met.join(name("a"), "a").join(name("b"), "b").select("hop", "way", F.col("a_name").alias("source"), label.alias("label"), F.col("b_name").alias("target"))
+    return found, said
 
 
 def within_budget(rows: DataFrame, text: Column, order: Sequence[Column | str], budget: int) -> DataFrame:
@@ -117,8 +144,21 @@ def within_budget(rows: DataFrame, text: Column, order: Sequence[Column | str],
     return rows.withColumn("line", text).withColumn("so_far", so_far).where(F.col("so_far") <= budget).drop("so_far")
 
 
-def answer(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, budget: int = 2000) -> DataFrame:
-    """A question's answer as lines in a budget of three characters a token: line, place."""
-    lines = neighbourhood(nodes, edges, seeds, depth).select(F.concat_ws(" ", "source", "relation", "target").alias("line")).distinct()
-    kept = within_budget(lines, F.col("line"), ["line"], 3 * budget)
-    return kept.select("line")
+def answer(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, budget: int = 2000, question: str = "", mode: str = "bfs") -> DataFrame:
+    """A question's answer as lines (place, line) in a budget of three characters a token: a head, the nodes
+    from the seeds outwards, those of more edges first, then the edges from the seeds outwards, each once."""
+    found, said = neighbourhood(nodes, edges, seeds, depth, mode)
+    ends = said.select(F.explode(F.array("source", "target")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    of = F.concat(F.lit("  "), F.col("name"), F.lit(" ["), F.coalesce("type", F.lit("?")), F.lit("] "), F.col("file"), F.lit(":"), F.coalesce("line", F.lit(0)).cast("string"))
+    listed = found.join(ends, "name", "left").select(F.lit(2).alias("part"), F.col("hop").alias("a"), (-F.coalesce("n", F.lit(0))).cast("int").alias("b"), of.alias("line"))
+    arrow = F.concat(F.lit("  "), F.col("source"), F.lit(" --"), F.col("label"), F.lit("--> "), F.col("target"))
+    met = said.select(arrow.alias("line"), "hop", "way").groupBy("line").agg(F.min(F.struct("hop", "way")).alias("at")).select(F.lit(4).alias("part"), F.col("at.hop").alias("a"), F.col("at.way").alias("b"), "line")
+    head = found.agg(F.count("*").alias("n")).crossJoin(said.agg(F.count("*").alias("e"))).select(F.concat(F.lit(f"Mode: {mode.upper()} depth={depth} | "), F.col("n").cast("string"), F.lit(" nodes, "), F.col("e").cast("string"), F.lit(" edges")).alias("line"))
+    fixed = lambda part, text: nodes.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(text).alias("line"))
+    heads = fixed(0, f"Query: {question}").unionByName(head.select(F.lit(0).alias("part"), F.lit(0).alias("a"), F.lit(1).alias("b"), "line")).unionByName(fixed(1, "NODES:")).unionByName(fixed(3, "EDGES:"))
+    order = ["part", "a", "b", "line"]
+    # A budget holds no more lines than characters, so only so many go to the running sum.
+    few = heads.unionByName(listed).unionByName(met).orderBy(*order).limit(3 * budget)
+    so_far = F.sum(F.length("line") + 1).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    kept = few.withColumns({"so_far": so_far, "place": F.row_number().over(Window.orderBy(*order)) - 1})
+    return kept.where(F.col("so_far") <= 3 * budget).select("place", "line")

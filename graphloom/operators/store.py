@@ -88,17 +88,36 @@ def resolve_edges(nodes: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def merge_incremental(nodes: DataFrame, edges: DataFrame, changed: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, keep_inbound: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Replaces what changed files (project, file) hold by new rows. Edges from other files into them go
-    with them, unless ``keep_inbound`` and their target is there again."""
+    """Replaces what changed files (project, file) hold by new rows. Of rows of one key a definition beats a
+    stub (a function at line 0), then the new one; edges are made unique as by ``relate``. Edges from other
+    files into changed ones go with them, unless ``keep_inbound`` and their target is there again."""
     left, kept = delete_files(nodes, edges, changed)
-    out_nodes = left.unionByName(new_nodes.select(*left.columns))
-    out_edges = kept.unionByName(new_edges.select(*kept.columns))
+    rows = left.withColumn("_new", F.lit(0)).unionByName(new_nodes.select(*left.columns).withColumn("_new", F.lit(1)))
+    stub = (F.col("type") == "function") & (F.coalesce("line", F.lit(0)) == 0)
+    best = F.max_by(F.struct(*[c for c in left.columns if c != "id"]), F.struct((~stub).alias("defined"), "_new"))
+    out_nodes = rows.groupBy("id").agg(best.alias("n")).select("id", "n.*").select(*left.columns)
+    out_edges = kept.unionByName(new_edges.select(*kept.columns)).withColumn("ord", F.lit(0))
     if keep_inbound:
         gone = nodes.join(changed.select("project", "file").distinct(), ["project", "file"], "left_semi").select("id")
         inbound = edges.join(gone.select(F.col("id").alias("dst")), "dst", "left_semi").join(gone.select(F.col("id").alias("src")), "src", "left_anti")
-        inbound = inbound.join(new_nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select(*edges.columns)
-        out_edges = out_edges.unionByName(inbound.select(*out_edges.columns)).dropDuplicates(["src", "dst", "relation"])
-    return out_nodes, out_edges
+        inbound = inbound.join(new_nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+        out_edges = out_edges.unionByName(inbound.select(*kept.columns).withColumn("ord", F.lit(1)))
+    return out_nodes, relate(out_edges).select("src", "dst", "relation", "confidence", "source_line")
+
+
+def store_clusters(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Nodes with the cluster_id of members (id, cluster_id); those that members don't name keep theirs."""
+    old = F.col("cluster_id") if "cluster_id" in nodes.columns else F.lit(None).cast("int")
+    to = members.select("id", F.col("cluster_id").alias("_to"))
+    return nodes.join(to, "id", "left").withColumn("cluster_id", F.coalesce("_to", old)).drop("_to").select(*[c for c in nodes.columns if c != "cluster_id"], "cluster_id")
+
+
+def store_processes(processes: DataFrame, steps: DataFrame, new: DataFrame, new_steps: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """A project's processes and their steps replaced by new ones, one a key."""
+    rest = processes.where(F.col("project") != project)
+    kept = steps.join(rest.select(F.col("id").alias("process_id")), "process_id", "left_semi")
+    once = new_steps.dropDuplicates(["process_id", "step_order", "node_id"])
+    return rest.unionByName(new.dropDuplicates(["id"])), kept.unionByName(once.select(*kept.columns))
 
 
 def first_per(df: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:
@@ -108,7 +127,9 @@ def first_per(df: DataFrame, by: list[str], order: list, n: int = 1) -> DataFram
 
 def store_ai_edges(edges: DataFrame, suggested: DataFrame, project: str, pass_number: int, force_confidence: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Adds suggested edges (source, target, relation, confidence, line, ord) that aren't there: names are
-    file:symbol, cut at the last colon. Returns the new edges with their pass, and (stored, skipped)."""
+    file:symbol, cut at the last colon. Returns the new edges with their pass, and (stored, skipped, errors):
+    skipped are there already or come twice, errors have no such relation or an end without a name, which
+    error_details lists by reason."""
     cut = lambda c: F.struct(F.when(F.instr(c, ":") > 0, F.regexp_extract(c, "(?s)^(.*):[^:]*$", 1)).otherwise(F.col(c)).alias("file"), F.regexp_extract(c, "(?s)([^:]*)$", 1).alias("name"))
     valid = F.col("relation").isin(list(RELATIONS)) & (F.coalesce("source", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != "")
     ends = suggested.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumns({"s": cut("source"), "t": cut("target")})
@@ -116,5 +137,8 @@ def store_ai_edges(edges: DataFrame, suggested: DataFrame, project: str, pass_nu
     keyed = ends.select("valid", node_key(F.lit(project), F.col("s.file"), F.col("s.name")).alias("src"), node_key(F.lit(project), F.col("t.file"), F.col("t.name")).alias("dst"), "relation", confidence.cast("double").alias("confidence"), F.coalesce("line", F.lit(0)).alias("source_line"), "ord")
     unique = keyed.where("valid").groupBy("src", "dst", "relation").agg(F.min_by(F.struct("confidence", "source_line"), "ord").alias("b")).select("src", "dst", "relation", "b.*")
     new = unique.join(edges.select("src", "dst", "relation"), ["src", "dst", "relation"], "left_anti").withColumn("pass", F.lit(pass_number))
-    counts = suggested.agg(F.count("*").alias("n")).crossJoin(new.agg(F.count("*").alias("stored"))).select("stored", (F.col("n") - F.col("stored")).alias("skipped"))
+    reason = F.when(~F.coalesce(F.col("relation").isin(list(RELATIONS)), F.lit(False)), F.concat(F.lit("unknown relation "), F.coalesce("relation", F.lit("null")))).otherwise("source or target missing")
+    wrong = ends.where(~F.col("valid")).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    wrong = wrong.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("errors"), F.sort_array(F.collect_list(F.concat("reason", F.lit(": "), F.col("n").cast("string")))).alias("error_details"))
+    counts = suggested.agg(F.count("*").alias("n")).crossJoin(new.agg(F.count("*").alias("stored"))).crossJoin(wrong).select("stored", (F.col("n") - F.col("stored") - F.col("errors")).alias("skipped"), "errors", "error_details")
     return new.select("src", "dst", "relation", "confidence", "source_line", "pass"), counts

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import kind_to_type
-from graphloom.schemas import RELATIONS
+from graphloom.operators.ranks import numbered
+from graphloom.operators.store import relate, resolve_edges
+from graphloom.schemas import RELATIONS, node_key
 
 #: Edges from a language server have this confidence.
 SERVER_CONFIDENCE = 0.9
@@ -51,10 +53,32 @@ def call_edges(calls: DataFrame, project: str) -> DataFrame:
 
 
 def add_type_info(nodes: DataFrame, hover: DataFrame) -> DataFrame:
-    """Hover texts (file, name, type_info) set on the nodes of that file and name; empty ones change nothing."""
-    said = hover.where(F.coalesce("type_info", F.lit("")) != "").groupBy("file", "name").agg(F.min("type_info").alias("said"))
+    """Hover texts (project, file, name, type_info, ord) set on the node of that project, file and name, of
+    several nodes the one of the least id. Of several texts the last counts; empty ones change nothing."""
+    key = ["project", "file", "name"]
+    said = hover.where(F.coalesce("type_info", F.lit("")) != "").groupBy(*key).agg(F.max_by("type_info", F.struct("ord", "type_info")).alias("said"))
+    first = nodes.join(said, key).groupBy(*key, "said").agg(F.min("id").alias("id")).select("id", "said")
     old = F.col("type_info") if "type_info" in nodes.columns else F.lit(None).cast("string")
-    return nodes.join(said, ["file", "name"], "left").withColumn("type_info", F.coalesce("said", old)).drop("said")
+    return nodes.join(first, "id", "left").withColumn("type_info", F.coalesce("said", old)).drop("said")
+
+
+def server_pass(nodes: DataFrame, edges: DataFrame, project: str, symbols: DataFrame, definitions: DataFrame, implementations: DataFrame, calls: DataFrame, hover: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A language server's answers put into the graph: files with symbols as nodes, edges by definition,
+    implementation and call, types from hover texts. Returns nodes, edges and counts (definitions,
+    implementations, calls)."""
+    parts = {"definitions": definition_edges(definitions, symbols, project), "implementations": implementation_edges(implementations, symbols, project), "calls": call_edges(calls, project)}
+    counts = None
+    for name, made in parts.items():
+        one = made.agg(F.count("*").alias(name))
+        counts = one if counts is None else counts.crossJoin(one)
+    files = symbols.select(F.lit(project).alias("project"), "file", F.col("file").alias("name"), F.lit("file").alias("type"), F.lit(0).alias("line")).distinct()
+    own = files.join(nodes.select("project", "file", "name"), ["project", "file", "name"], "left_anti").select(node_key().alias("id"), "project", "file", "name", "type", "line")
+    columns = own.columns
+    raw = parts["definitions"].unionByName(parts["implementations"]).unionByName(parts["calls"]).withColumn("ord", F.monotonically_increasing_id())
+    plain = nodes.select(*columns).unionByName(own)
+    every, new = resolve_edges(plain, raw)
+    kept = edges.select("src", "dst", "relation", "confidence", "source_line").withColumn("ord", F.lit(0)).unionByName(new.select("src", "dst", "relation", "confidence", "source_line").withColumn("ord", F.lit(1)))
+    return (add_type_info(every, hover) if hover is not None else every), relate(kept), counts
 
 
 def parse_suggestions(answers: DataFrame) -> DataFrame:
@@ -70,10 +94,5 @@ def parse_suggestions(answers: DataFrame) -> DataFrame:
 
 
 def batches(items: DataFrame, size: int, order: str = "file") -> DataFrame:
-    """Items numbered in consecutive batches of a size, in order. The numbers come from counts by range
-    partition, so no task sees all items."""
-    part = items.repartitionByRange(order).sortWithinPartitions(order)
-    with_part = part.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
-    offset = with_part.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first"))
-    before = offset.alias("a").join(offset.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p"), F.col("a.first").alias("first")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return with_part.join(F.broadcast(before), "_p").select(*items.columns, F.floor((F.col("before") + F.col("_i") - F.col("first")) / size).alias("batch"))
+    """Items numbered in consecutive batches of a size, in order."""
+    return numbered(items, [order], "_nth").withColumn("batch", F.floor(F.col("_nth") / size)).drop("_nth")

@@ -12,6 +12,7 @@ from graphloom.operators import clusters, contracts, flows, hooks, reports, sear
 from graphloom.plans.derived import SQL, Graph, graph
 from graphloom.schemas import node_key
 from graphloom.storage import materialize
+from graphloom.streaming.incremental import first_of_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,7 +64,10 @@ def callers_d1(g: Graph) -> DataFrame:
     return traverse.incoming(g.nodes, g.edges, seed(g), "calls")
 
 
-@query(f", {SEED}, r(x, dep) as (select id, 0 from seed union select e.src, dep + 1 from r join e on e.dst = r.x and e.relation = 'calls' where dep < 3) select name, file, line, cast(min(dep) as int) as depth from r join n on n.id = r.x where dep > 0 group by all", recursive=True)
+@query(f", {SEED}, r(x, dep) as (select id, 0 from seed union select e.src, dep + 1 from r join e on e.dst = r.x and e.relation = 'calls' where dep < 3), "
+    "m as (select x, min(dep) as dep from r where dep > 0 group by x), t as (select x, dep + 1 as dep from m union select id, 1 from seed), "
+    "c as (select m.x, m.dep, confidence, source_line, row_number() over (partition by m.x order by confidence desc, source_line) as rn from m join e on e.src = m.x and e.relation = 'calls' join t on t.x = e.dst and t.dep = m.dep) "
+    "select name, file, line, cast(dep as int) as depth, confidence, source_line from c join n on n.id = c.x where rn = 1", recursive=True)
 def callers_d3(g: Graph) -> DataFrame:
     return traverse.callers(g.nodes, g.edges, seed(g), 3)
 
@@ -97,7 +101,7 @@ def path_length(g: Graph) -> DataFrame:
     return traverse.path_length(g.nodes, g.edges, far(g), seed(g))
 
 
-@query()
+@query(PATH + ", dd as (select x, min(dep) as dep from r group by x), wy as (select src as a, dst as b, case relation when 'calls' then 0 when 'imports' then 2 else 4 end as way from e where relation in ('calls', 'imports', 'reads') union select dst, src, case relation when 'calls' then 1 when 'imports' then 3 else 5 end from e where relation in ('calls', 'imports', 'reads')), pa as (select b as x, arg_min(a, struct_pack(way := way, a := a)) as parent from wy join dd p on p.x = a join dd c on c.x = b and c.dep = p.dep + 1 group by b), bk(x, dep) as (select x, dep from dd where x = (select id from seed) union all select parent, dep - 1 from bk join pa using (x) where dep > 0) select cast(dep as int) as step, name, file, line from bk join n on n.id = bk.x", recursive=True)
 def path_nodes(g: Graph) -> DataFrame:
     return traverse.shortest_path(g.nodes, g.edges, far(g), seed(g))
 
@@ -137,6 +141,18 @@ def report_stats(g: Graph) -> DataFrame:
     return reports.report_stats(g.nodes, g.edges)
 
 
+# Nodes and edges with the files too: an import also leads to the file of what is imported.
+FILED = "nf as (select id, project, file, name, type, line from n union all select substr(sha256(concat(project, ':', file, ':', file)), 1, 16), project, file, file, 'file', 0 from (select distinct project, file from n)), ef as (select src, dst, relation from e union all select distinct src, substr(sha256(concat(project, ':', file, ':', file)), 1, 16), relation from e join n on n.id = e.dst where relation = 'imports')"
+
+
+def _filed(g: Graph) -> tuple[DataFrame, DataFrame]:
+    of_file = node_key("project", "file", "file")
+    files = g.nodes.select("project", "file").distinct().select(of_file.alias("id"), "project", "file", F.col("file").alias("name"), F.lit("file").alias("type"), F.lit(0).alias("line"))
+    edges = g.edges.select("src", "dst", "relation")
+    more = edges.where("relation = 'imports'").join(g.nodes.select(F.col("id").alias("dst"), of_file.alias("of")), "dst").select("src", F.col("of").alias("dst"), "relation").distinct()
+    return _plain(g.nodes).unionByName(files), edges.unionByName(more)
+
+
 CHANGED = "ch as (select file, row_number() over (order by file) as ord from (select distinct file from n where project = 'proj0' and k % 97 = 5)), cf as (select * from ch order by ord limit 20), sy as (select id, name, file, line from (select n.*, row_number() over (partition by file order by line, name, id) as rn from n where project = 'proj0' and file in (select file from cf)) where rn <= 10)"
 
 
@@ -150,18 +166,19 @@ def detect_changes_symbols(g: Graph) -> DataFrame:
     return _changed(g)[1].select("name", "file", "line")
 
 
-AFFECTED = f", {CHANGED}, r(x, dep) as (select id, 0 from sy union select e.src, dep + 1 from r join e on e.dst = r.x where dep < 2), af as (select x, min(dep) as dep from r group by x having min(dep) > 0)"
+AFFECTED = f", {CHANGED}, {FILED}, r(x, dep) as (select id, 0 from sy union select substr(sha256(concat('proj0:', file, ':', file)), 1, 16), 0 from sy union select ef.src, dep + 1 from r join ef on ef.dst = r.x where dep < 2), af as (select x, min(dep) as dep from r group by x having min(dep) > 0)"
 
 
-@query(AFFECTED + " select name, file, cast(min(dep) as int) as depth from af join n on n.id = af.x group by all", recursive=True)
+@query(AFFECTED + " select name, file, cast(min(dep) as int) as depth from af join nf on nf.id = af.x group by all", recursive=True)
 def detect_changes_affected(g: Graph) -> DataFrame:
-    return reports.affected(g.nodes, g.edges, _changed(g)[1]).select("name", "file", "depth")
+    return reports.affected(*_filed(g), _changed(g)[1], "proj0").select("name", "file", "depth")
 
 
-@query(AFFECTED + ", hb as (select name, file from n join (select id, count(*) as degree from (select src as id from e union all select dst from e) group by id) using (id) order by degree desc, id limit 10), c as (select (select count(*) from ch) as f, (select count(*) from sy) as s, (select count(*) from (select distinct name, file from af join n on n.id = af.x)) as a, (select count(*) from (select distinct name, file from af join n on n.id = af.x) q semi join hb using (name, file)) as h) select case when f = 0 then 'NONE' when s = 0 then 'LOW' when a > 50 or h > 0 then 'CRITICAL' when a > 20 then 'HIGH' when a > 5 then 'MEDIUM' else 'LOW' end as risk, a as total_affected, h as hubs_affected from c", recursive=True)
+@query(AFFECTED + ", hb as (select name, file from nf join (select id, count(*) as degree from (select src as id from ef union all select dst from ef) group by id) using (id) where project = 'proj0' order by degree desc, id limit 10), c as (select (select count(*) from ch) as f, (select count(*) from sy) as s, (select count(*) from (select distinct name, file from af join nf on nf.id = af.x)) as a, (select count(*) from (select distinct name, file from af join nf on nf.id = af.x) q semi join hb using (name, file)) as h) select case when f = 0 then 'NONE' when s = 0 then 'LOW' when a > 50 or h > 0 then 'CRITICAL' when a > 20 then 'HIGH' when a > 5 then 'MEDIUM' else 'LOW' end as risk, a as total_affected, h as hubs_affected from c", recursive=True)
 def detect_changes_risk(g: Graph) -> DataFrame:
     files, symbols = _changed(g)
-    return reports.change_risk(files, symbols, reports.affected(g.nodes, g.edges, symbols), traverse.hubs(g.nodes, g.edges))
+    nodes, edges = _filed(g)
+    return reports.change_risk(files, symbols, reports.affected(nodes, edges, symbols, "proj0"), traverse.hubs(nodes.where("project = 'proj0'"), edges))
 
 
 @query(", f as (select file from n where project = 'proj2' order by id limit 1), s as (select id, name, type, line from n where project = 'proj2' and file = (select file from f) order by line, name limit 15) select s.name, s.type, s.line, coalesce((select string_agg(name, ',' order by name) from (select distinct a.name from e join n a on a.id = e.src where e.dst = s.id and relation = 'calls' order by 1 limit 4)), '') as callers from s")
@@ -181,38 +198,34 @@ def entry_points(g: Graph) -> DataFrame:
     return flows.entry_points(g.nodes, g.edges).drop("id")
 
 
-TRACES = f""", {ENTRY}, en as (select id from ep where sc > 1 order by sc desc, id limit 100),
- dg as (select id, count(*) as degree from (select src as id from e where relation = 'calls' union all select dst from e where relation = 'calls') group by id),
- hp as (select distinct src, dst, degree from e join dg on dg.id = e.dst where relation = 'calls'),
- t1 as (select [id] as p from en),
- t2 as (select list_append(p, dst) as p from (select p, dst, row_number() over (partition by p order by degree desc, dst) as rn from t1 join hp on hp.src = p[-1] where not list_contains(p, dst)) where rn <= 3),
- t3 as (select list_append(p, dst) as p from (select p, dst, row_number() over (partition by p order by degree desc, dst) as rn from t2 join hp on hp.src = p[-1] where not list_contains(p, dst)) where rn <= 3),
- t4 as (select list_append(p, dst) as p from (select p, dst, row_number() over (partition by p order by degree desc, dst) as rn from t3 join hp on hp.src = p[-1] where not list_contains(p, dst)) where rn <= 3),
- tr as (select p from t3 where not exists (select 1 from t4 where t4.p[1:3] = t3.p) union all select p from t4)"""
+#: Nodes of a path at most.
+DEPTH = 10
 
 
-#: Nodes of a path at most: the SQL spells out four; the queries named _whole go as deep as the operator, without SQL.
-SHALLOW, WHOLE = 4, 10
+def _longer(n: int) -> str:
+    return f"t{n + 1} as (select list_append(p, dst) as p from (select p, dst, row_number() over (partition by p order by degree desc, dst) as rn from t{n} join hp on hp.src = p[-1] where not list_contains(p, dst)) where rn <= 3)"
 
 
-def _traces(g: Graph, depth: int = SHALLOW) -> DataFrame:
-    return flows.traces(g.edges, flows.entry_points(g.nodes, g.edges).select("id"), max_depth=depth)
+def _ended(n: int) -> str:
+    return f"select p from t{n} where not exists (select 1 from t{n + 1} where t{n + 1}.p[1:{n}] = t{n}.p)"
 
 
-def _named_traces(g: Graph, depth: int = SHALLOW) -> DataFrame:
-    name = lambda c: g.nodes.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
-    rows = _traces(g, depth).select(F.col("path")[0].alias("a"), F.element_at("path", -1).alias("b"), F.size("path").alias("step_count"), F.concat_ws(">", "path").alias("path"))
-    return rows.join(name("a"), "a").join(name("b"), "b").select(F.col("a_name").alias("entry"), F.col("b_name").alias("terminal"), "step_count", "path")
+TRACES = f""", {ENTRY}, en as (select id from ep where sc > 1 order by sc desc, id limit 100),
+ dg as (select id, count(*) as degree from (select src as id from e where relation = 'calls' union all select dst from e where relation = 'calls') group by id),
+ hp as (select distinct src, dst, degree from e join dg on dg.id = e.dst where relation = 'calls'),
+ t1 as (select [id] as p from en), {', '.join(_longer(n) for n in range(1, DEPTH))},
+ tr as ({' union all '.join(_ended(n) for n in range(3, DEPTH))} union all select p from t{DEPTH})"""
 
 
-@query(TRACES + " select a.name as entry, b.name as terminal, cast(len(p) as int) as step_count, array_to_string(p, '>') as path from tr join n a on a.id = p[1] join n b on b.id = p[-1]")
-def traces(g: Graph) -> DataFrame:
-    return _named_traces(g)
+def _traces(g: Graph) -> DataFrame:
+    return flows.traces(g.edges, flows.entry_points(g.nodes, g.edges).select("id"), max_depth=DEPTH)
 
 
-@query()
-def traces_whole(g: Graph) -> DataFrame:
-    return _named_traces(g, WHOLE)
+@query(TRACES + " select a.name as entry, b.name as terminal, cast(len(p) as int) as step_count, array_to_string(p, '>') as path from tr join n a on a.id = p[1] join n b on b.id = p[-1]")
+def traces(g: Graph) -> DataFrame:
+    name = lambda c: g.nodes.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    rows = _traces(g).select(F.col("path")[0].alias("a"), F.element_at("path", -1).alias("b"), F.size("path").alias("step_count"), F.concat_ws(">", "path").alias("path"))
+    return rows.join(name("a"), "a").join(name("b"), "b").select(F.col("a_name").alias("entry"), F.col("b_name").alias("terminal"), "step_count", "path")
 
 
 KEPT = TRACES + """, tn as (select p, a.name as entry, b.name as terminal, array_to_string(p, '>') as tid from tr join n a on a.id = p[1] join n b on b.id = p[-1]),
@@ -222,22 +235,13 @@ KEPT = TRACES + """, tn as (select p, a.name as entry, b.name as terminal, array
 
 @query(KEPT + " select entry, terminal, cast(len(p) as int) as step_count, tid as path from kp")
 def traces_dedup(g: Graph) -> DataFrame:
-    return _kept_traces(g)
+    return flows.dedup_traces(g.nodes, _traces(g)).select("entry", "terminal", F.size("path").alias("step_count"), F.col("trace_id").alias("path"))
 
 
-@query()
-def traces_dedup_whole(g: Graph) -> DataFrame:
-    return _kept_traces(g, WHOLE)
-
-
-def _kept_traces(g: Graph, depth: int = SHALLOW) -> DataFrame:
-    return flows.dedup_traces(g.nodes, _traces(g, depth)).select("entry", "terminal", F.size("path").alias("step_count"), F.col("trace_id").alias("path"))
-
-
-def _processes(g: Graph, depth: int = SHALLOW) -> tuple[DataFrame, DataFrame]:
+def _processes(g: Graph) -> tuple[DataFrame, DataFrame]:
     spans = g.nodes.select(F.col("id").alias("node_id"), F.substring("project", 5, 9).cast("int").alias("cluster_id"), "line")
     spans = spans.select("node_id", (F.col("cluster_id") * 100 + F.col("line") % 3).alias("cluster_id"))
-    return flows.processes(g.nodes, flows.dedup_traces(g.nodes, _traces(g, depth)), "all", flows.process_cap(g.nodes.count()), spans)
+    return flows.processes(g.nodes, flows.dedup_traces(g.nodes, _traces(g)), "all", flows.process_cap(g.nodes.count()), spans)
 
 
 PROCESSES = KEPT + ", pr as (select concat(entry, ' → ', terminal) as label, p, tid from kp order by len(p) desc, tid limit (select greatest(20, count(*) // 10) from n)), st as (select label, tid, len(p) as step_count, unnest(p) as id from pr), cc as (select tid, label, step_count, count(distinct concat(project, line % 3)) > 1 as cross_community from st join n using (id) group by all)"
@@ -253,44 +257,21 @@ def cross_community(g: Graph) -> DataFrame:
     return _processes(g)[0].select("label", "cross_community")
 
 
-@query()
-def processes_whole(g: Graph) -> DataFrame:
-    return _processes(g, WHOLE)[0].select("label", "step_count", "cross_community")
-
-
 @query(PROCESSES + ", few as (select id from n where k % 7 = 3 order by id limit 50) select label, cast(step_count as int) as step_count from st where id in (select id from few) group by tid, label, step_count")
 def flows_affected(g: Graph) -> DataFrame:
-    return _affected_flows(g)
-
-
-@query()
-def flows_affected_whole(g: Graph) -> DataFrame:
-    return _affected_flows(g, WHOLE)
-
-
-def _affected_flows(g: Graph, depth: int = SHALLOW) -> DataFrame:
-    found, steps = _processes(g, depth)
+    found, steps = _processes(g)
     return reports.flows_affected(found, steps, g.nodes.where("k % 7 = 3").select("id"))
 
 
-@query()
+@query(PROCESSES + ", pf as (select label, key, p from (select substr(sha256(concat('all:', p[1], ':', label)), 1, 16) as key, label, p from pr) where contains(lower(label), 'red') or contains(lower(label), 'blue') order by label, key limit 10), ps as (select label, key, unnest(range(len(p))) as pos, unnest(p) as id from pf) select id, cast(row_number() over (order by label, key, pos) as int) as rank from (select * from ps qualify row_number() over (partition by id order by label, key, pos) = 1)")
 def process_seeds(g: Graph) -> DataFrame:
-    found, steps = _processes(g, WHOLE)
+    found, steps = _processes(g)
     return search.process_seeds(found, steps, ["red", "blue"])
 
 
 @query(PROCESSES + " select label, cast(step_count as int) as step_count from cc where contains(lower(label), 'a') order by step_count desc, label limit 20")
 def processes_search(g: Graph) -> DataFrame:
-    return _found_processes(g)
-
-
-@query()
-def processes_search_whole(g: Graph) -> DataFrame:
-    return _found_processes(g, WHOLE)
-
-
-def _found_processes(g: Graph, depth: int = SHALLOW) -> DataFrame:
-    rows = _processes(g, depth)[0].where(F.lower("label").contains("a"))
+    rows = _processes(g)[0].where(F.lower("label").contains("a"))
     return rows.orderBy(F.desc("step_count"), "label").limit(20).select("label", "step_count")
 
 
@@ -437,9 +418,9 @@ def cluster_label(g: Graph) -> DataFrame:
     return clusters.cluster_labels(g.nodes, _groups(g))
 
 
-@query(LABELS + " select name, file, line, label from lb join (select cast(k % 25 as int) as cluster_id, * from n) using (cluster_id) where contains(lower(label), 'test')")
+@query(LABELS + " select name, file, line, label from lb join (select cast(k % 25 as int) as cluster_id, * from n) using (cluster_id) where contains(lower(label), 'o')")
 def cluster_members(g: Graph) -> DataFrame:
-    return clusters.cluster_members(g.nodes, _groups(g), clusters.cluster_labels(g.nodes, _groups(g)), "TEST")
+    return clusters.cluster_members(g.nodes, _groups(g), clusters.cluster_labels(g.nodes, _groups(g)), "O")
 
 
 @query(LABELS + ", lab as (select cluster_id, label from lb), un as (select cluster_id, case when row_number() over (partition by label order by cluster_id) > 1 then label || '-' || cluster_id else label end as label from lab), r as (select cast(k % 25 as int) as cluster_id, * from n), kf as (select cluster_id, string_agg(file, ',' order by file) as key_files from (select cluster_id, file, row_number() over (partition by cluster_id order by file) as rn from (select distinct cluster_id, file from r)) where rn <= 5 group by 1) select cluster_id, label, count(*) as node_count, any_value(key_files) as key_files from un join r using (cluster_id) join kf using (cluster_id) group by cluster_id, label")
@@ -533,12 +514,12 @@ def contract_patterns(g: Graph) -> DataFrame:
 
 
 def _linked(g: Graph) -> tuple[DataFrame, DataFrame]:
-    rows = g.nodes.where("k % 11 = 0").select(F.concat(F.lit("k"), F.col("k").cast("string")).alias("id"), "project", F.concat(F.lit("lib::x"), (F.col("k") % 13).cast("string")).alias("contract_id"), F.lit("lib").alias("contract_type"), F.when(F.col("k") % 2 == 0, "provider").otherwise("consumer").alias("role"), F.col("name").alias("symbol_name"), F.col("file").alias("symbol_file"), F.col("id").alias("symbol_node"), F.lit(1.0).alias("confidence"))
+    rows = g.nodes.select(F.concat(F.lit("k"), F.col("k").cast("string")).alias("id"), "project", F.concat(F.lit("lib::x"), F.floor(F.col("k") / 20).cast("string")).alias("contract_id"), F.lit("lib").alias("contract_type"), F.when(F.col("k") % 2 == 0, "provider").otherwise("consumer").alias("role"), F.col("name").alias("symbol_name"), F.col("file").alias("symbol_file"), F.col("id").alias("symbol_node"), F.lit(1.0).alias("confidence"))
     rows = materialize(rows, "contracts")
     return rows, materialize(contracts.match_exact(rows), "links")
 
 
-IMPACT = f", {SEED}, c as (select 'k' || k as id, project, 'lib::x' || k % 13 as contract_id, case when k % 2 = 0 then 'provider' else 'consumer' end as role, name as symbol_name, file as symbol_file, id as node from n where k % 11 = 0), li as (select a.id as consumer_id, b.id as provider_id from c a join c b on a.role = 'consumer' and b.role = 'provider' and a.contract_id = b.contract_id and a.project <> b.project), home as (select project from n where id = (select id from seed)), r(x, dep) as (select id, 0 from seed union select e.src, dep + 1 from r join e on e.dst = r.x where dep < 2), lo as (select x, min(dep) as dep from r group by x), tc as (select c.id from c where project = (select project from home) and (symbol_file in (select file from lo join n on n.id = lo.x) or symbol_name in (select name from lo join n on n.id = lo.x))), og as (select tc.id as start, provider_id as id from li join tc on tc.id = li.consumer_id), ic as (select tc.id as start, consumer_id as id from li join tc on tc.id = li.provider_id where tc.id not in (select start from og)), tg as (select distinct c.project, c.contract_id from c where id in (select id from og union select id from ic) and project <> (select project from home)), fs as (select distinct node as id from c semi join tg using (project, contract_id)), q(x, dep) as (select id, 0 from fs union select e.src, dep + 1 from q join e on e.dst = q.x where dep < 2), fr as (select x, min(dep) as dep from q group by x having min(dep) > 0)"
+IMPACT = f", {SEED}, c as (select 'k' || k as id, project, 'lib::x' || k // 20 as contract_id, case when k % 2 = 0 then 'provider' else 'consumer' end as role, name as symbol_name, file as symbol_file, id as node from n), li as (select a.id as consumer_id, b.id as provider_id from c a join c b on a.role = 'consumer' and b.role = 'provider' and a.contract_id = b.contract_id and a.project <> b.project), home as (select project from n where id = (select id from seed)), r(x, dep) as (select id, 0 from seed union select e.src, dep + 1 from r join e on e.dst = r.x where dep < 2), lo as (select x, min(dep) as dep from r group by x), tc as (select c.id from c where project = (select project from home) and (symbol_file in (select file from lo join n on n.id = lo.x) or symbol_name in (select name from lo join n on n.id = lo.x))), og as (select tc.id as start, provider_id as id from li join tc on tc.id = li.consumer_id), ic as (select tc.id as start, consumer_id as id from li join tc on tc.id = li.provider_id where tc.id not in (select start from og)), tg as (select distinct c.project, c.contract_id from c where id in (select id from og union select id from ic) and project <> (select project from home)), fs as (select distinct node as id from c semi join tg using (project, contract_id)), q(x, dep) as (select id, 0 from fs union select e.src, dep + 1 from q join e on e.dst = q.x where dep < 2), fr as (select x, min(dep) as dep from q group by x having min(dep) > 0)"
 
 
 @query(IMPACT + " select project, name, file, cast(min(dep) as int) as depth from (select * from lo where dep > 0 union all select * from fr) y join n on n.id = y.x group by all", recursive=True)
@@ -628,9 +609,6 @@ def import_edges_from_pages(g: Graph) -> DataFrame:
     return g.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
 
 
-@query("select user_id, event_type, min(ts) as first_ts from events group by all", over_graph=False)
+@query("select user_id, event_type, min(ts) as ts, arg_min(event_id, struct_pack(ts := ts, id := event_id)) as event_id from events group by all", over_graph=False)
 def session_dedup(g: Graph) -> DataFrame:
-    from graphloom.streaming.incremental import first_of_session
-
-    events = g.table("events").withColumn("first_ts", F.min("ts").over(Window.partitionBy("user_id", "event_type")))
-    return first_of_session(events.select("user_id", "event_type", "first_ts"), ["user_id", "event_type"])
+    return first_of_session(g.table("events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.schemas import node_key
-from graphloom.storage import materialize
+from graphloom.storage import materialize, modified
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,8 @@ class Graph:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-_KEPT: dict[tuple[str, str], Graph] = {}
+#: By session, path and the times at which the tables were last changed.
+_KEPT: dict[tuple, Graph] = {}
 
 
 def derive_nodes(part: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def derive_edges(lineitem: DataFrame) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    at = spark.sparkContext.applicationId, sf_dir
+    at = spark.sparkContext.applicationId, sf_dir, *(modified(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
     if at not in _KEPT:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         nodes = materialize(derive_nodes(read("part")), "nodes")

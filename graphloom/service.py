@@ -7,18 +7,25 @@ exception into a row with its message, for callers that must not fail.
 from __future__ import annotations
 
 import functools
+import os
 import traceback
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import clusters, contracts, flows, reports, search, traverse
+from graphloom.operators import clusters, contracts, embed, flows, reports, search, traverse
+from graphloom.operators.store import delete_files, merge_incremental, store_clusters, store_processes
 from graphloom.schemas import CONTRACT_LINKS, CONTRACTS, GROUPS, node_key
 from graphloom.sources import extract, files
+from graphloom.sources.manifests import MANIFESTS
 from graphloom.storage import materialize
 
+TABLES = ("nodes", "edges", "members", "processes", "steps", "contracts", "links", "groups", "vectors")
+TOOLS = ("callers", "readers", "path", "blast_radius", "search", "hubs", "clusters", "cluster_members", "query", "detect_changes", "list_processes", "list_contracts", "group_list", "group_status", "group_impact", "outline", "lookup", "edit_context", "points", "files_like", "context", "hubs_text", "clusters_text", "processes_text", "report")
+
 
 def safe(method):
     @functools.wraps(method)
@@ -48,37 +55,62 @@ class CodeGraph:
 
     @staticmethod
     def build(spark: SparkSession, root: str, project: str) -> CodeGraph:
-        """A full build of a folder: extraction, communities, flows, contracts. A step after extraction
-        that fails leaves its tables out."""
-        found = files.read_files(spark, root, project, files.tracked_files(root))
-        nodes, edges = extract.build(found)
-        graph = CodeGraph(spark, materialize(nodes, "nodes"), materialize(edges, "edges"))
-        for step in (CodeGraph.with_clusters, CodeGraph.with_processes, lambda g: g.with_contracts(found)):
+        """A full build of a folder: extraction, communities, flows, contracts, vectors. A step after
+        extraction that fails leaves its tables out."""
+        nodes, edges = extract.build(files.read_files(spark, root, project, files.tracked_files(root)))
+        return CodeGraph(spark, materialize(nodes, "nodes"), materialize(edges, "edges")).completed(root, project)
+
+    def rebuild(self, root: str, project: str, changed: Sequence[str], keep_inbound: bool = False) -> CodeGraph:
+        """An incremental build: changed files are taken out and read again if they are there; with any
+        read, the steps after extraction run anew."""
+        known = [p for p in changed if files.wanted(p)]
+        there = [p for p in known if os.path.isfile(os.path.join(root, p))]
+        gone = self.spark.createDataFrame([(project, p) for p in known], "project string, file string")
+        plain = self.nodes.select("id", "project", "file", "name", "type", "line")
+        new_nodes, new_edges = extract.build(files.read_files(self.spark, root, project, there), delete_files(plain, self.edges, gone)[0])
+        nodes, edges = merge_incremental(plain, self.edges, gone, new_nodes, new_edges, keep_inbound)
+        after = replace(self, nodes=materialize(nodes, "nodes"), edges=materialize(edges, "edges"))
+        return after.completed(root, project) if there else after
+
+    def completed(self, root: str, project: str) -> CodeGraph:
+        """With the steps after extraction, each on its own: one that fails leaves what was there."""
+        found = files.read_files(self.spark, root, project, [p for p in files.tracked_files(root) if p.rpartition("/")[2] in MANIFESTS])
+        graph = self
+        for step in (CodeGraph.with_clusters, lambda g: g.with_processes(project), lambda g: g.with_contracts(found), CodeGraph.with_vectors):
             made = safe(step)(graph)
             graph = made if isinstance(made, CodeGraph) else graph
         return graph
 
-    def rebuild(self, root: str, project: str, changed: Sequence[str], keep_inbound: bool = False) -> CodeGraph:
-        """An incremental build: changed files are taken out and read again if they are there."""
-        from graphloom.operators.store import merge_incremental
+    def save(self, path: str) -> None:
+        """Every table there is as Parquet, in a folder of its name below path."""
+        for name in TABLES:
+            if getattr(self, name) is not None:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
-        import os
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CodeGraph:
+        def read(name: str) -> DataFrame | None:
+            try:
+                return spark.read.parquet(f"{path}/{name}")
+            except AnalysisException:
+                return None
 
-        there = [p for p in changed if files.wanted(p) and os.path.isfile(os.path.join(root, p))]
-        nodes, edges = extract.build(files.read_files(self.spark, root, project, there))
-        gone = self.spark.createDataFrame([(project, p) for p in changed], "project string, file string")
-        nodes, edges = merge_incremental(self.nodes, self.edges, gone, nodes, edges, keep_inbound)
-        known = nodes.dropDuplicates(["id"])
-        return replace(self, nodes=materialize(known, "nodes"), edges=materialize(edges.dropDuplicates(["src", "dst", "relation"]), "edges"))
+        return CodeGraph(spark, **{name: read(name) for name in TABLES})
 
     def with_clusters(self) -> CodeGraph:
-        return replace(self, members=materialize(clusters.communities(self.nodes, self.edges), "members"))
+        members = materialize(clusters.communities(self.nodes, self.edges), "members")
+        return replace(self, members=members, nodes=materialize(store_clusters(self.nodes, members), "nodes"))
+
+    def with_vectors(self) -> CodeGraph:
+        return replace(self, vectors=materialize(embed.embed_nodes(self.nodes), "vectors"))
 
     def with_processes(self, project: str = "") -> CodeGraph:
         entries = flows.entry_points(self.nodes, self.edges).select("id")
         kept = flows.dedup_traces(self.nodes, flows.traces(self.edges, entries))
         of = self.members.withColumnRenamed("id", "node_id") if self.members is not None else None
         made, steps = flows.processes(self.nodes, kept, project, flows.process_cap(self.nodes.count()), of)
+        if self.processes is not None and self.steps is not None:
+            made, steps = store_processes(self.processes, self.steps, made, steps, project)
         return replace(self, processes=materialize(made, "processes"), steps=materialize(steps, "steps"))
 
     def with_contracts(self, found: DataFrame | None = None) -> CodeGraph:
@@ -129,16 +161,18 @@ class CodeGraph:
         if not terms:
             return self.spark.createDataFrame([("No meaningful search terms found.",)], "line string")
         lists = [search.ranked(search.lexical_seeds(own, terms), F.desc("score"), "id")]
-        if vector is not None and self.vectors is not None:
-            lists.append(search.ranked(search.nearest_vectors(self.vectors, vector), "dist", "id"))
+        if self.vectors is not None:
+            asked = vector if vector is not None else embed.embed_question(self.nodes, question)
+            near = self.vectors.join(own.select("id"), "id", "left_semi")
+            lists.append(search.ranked(search.nearest_vectors(near, asked), "dist", "id"))
         if self.processes is not None and self.steps is not None:
             lists.append(search.process_seeds(self.processes, self.steps, terms).select("id", (F.col("rank") - 1).alias("rank")))
-        return search.answer(own, self.edges, search.rank_fusion(lists, own), 1 if mode == "dfs" else depth, budget)
+        return search.answer(self.nodes, self.edges, search.rank_fusion(lists, own), depth, budget, question, mode)
 
     def detect_changes(self, project: str, changed: Sequence[str], depth: int = 2) -> dict[str, DataFrame]:
         given = self.spark.createDataFrame([(f, i) for i, f in enumerate(changed)], "file string, ord int")
         symbols = reports.changed_symbols(self._own(project), given, project)
-        hit = reports.affected(self.nodes, self.edges, symbols, depth)
+        hit = reports.affected(self.nodes, self.edges, symbols, project, depth)
         out = {"symbols": symbols, "affected": hit, "risk": reports.change_risk(given, symbols, hit, self.hubs(project))}
         if self.processes is not None and self.steps is not None:
             out["flows"] = reports.flows_affected(self.processes, self.steps, symbols.select("id").union(hit.select("id")))
@@ -205,6 +239,24 @@ class CodeGraph:
     def processes_text(self) -> str:
         return "\n".join(f"{r['label']} ({r['step_count']})" for r in self.list_processes().collect())
 
+    def tool(self, name: str, **given):
+        """One of TOOLS by name: its rows as dictionaries, a text as it is, or {"error": ...}."""
+        if name not in TOOLS:
+            return {"error": f"no tool {name!r}"}
+
+        def run():
+            out = getattr(self, name)(**given)
+            listed = lambda x: [r.asDict(True) for r in x.collect()] if isinstance(x, DataFrame) else x
+            return {k: listed(v) for k, v in out.items()} if isinstance(out, dict) else listed(out)
+
+        return safe(run)()
+
+    def write_report(self, project: str, path: str) -> str:
+        """The report as a file for people; small, so the driver writes it."""
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(self.report(project))
+        return path
+
     def report(self, project: str) -> str:
         summaries = self.clusters(project) if self.members is not None else None
         return reports.render_report(self._own(project), self.edges, summaries, project)
@@ -223,10 +275,35 @@ class CodeGraph:
         by = calls.join(self.nodes.select(F.col("id").alias("src"), "name"), "src").groupBy(F.col("dst").alias("id")).agg(F.slice(F.sort_array(F.collect_set(said)), 1, most_callers).alias("callers"))
         return rows.join(by, "id", "left").select("project", "file", "name", "type", "line", "callers")
 
-    def edit_context(self, project: str, file: str, line: int) -> DataFrame:
-        """Who calls the symbol that a line belongs to, the last that begins at or above it."""
-        at = self._own(project).where((F.col("file") == file) & (F.col("type") != "file") & (F.col("line") <= line)).orderBy(F.desc("line"), "name").limit(1)
-        return traverse.incoming(self.nodes, self.edges, at.select("id"), "calls").unionByName(traverse.incoming(self.nodes, self.edges, at.select("id"), "reads"))
+    def edit_context(self, project: str, file: str, function: str | None = None, line: int | None = None) -> DataFrame:
+        """What an edit touches: (kind, name, used_by). With a function, or the last one that begins at or
+        above a line, its callers and the readers of the file's fields; else the callers of all functions
+        of the file and the readers of its fields. A file that the project doesn't have is looked for in
+        the others, then by the name of the function or of the file."""
+        here = self.nodes.where((F.col("project") == project) & (F.col("file") == file)).limit(1)
+        stem = file.rpartition("/")[2].partition(".")[0]
+        other = self.nodes.where(F.col("file") == file).orderBy("project", "id").limit(1)
+        named = self.nodes.where((F.col("name") == (function or stem)) & (F.col("type") == ("function" if function else "file"))).orderBy("project", "id").limit(1)
+        at = next((r for r in (x.select("project", "file").first() for x in (here, other, named)) if r), None)
+        if at:
+            project, file = at["project"], at["file"]
+        own = self.nodes.where((F.col("project") == project) & (F.col("file") == file))
+        if function is None and line is not None:
+            last = own.where((F.col("type") == "function") & (F.col("line") <= line)).orderBy(F.desc("line"), "name").first()
+            function = last["name"] if last else None
+        about = own.where((F.col("type") == "field") | ((F.col("type") == "function") & (F.lit(function is None) | (F.col("name") == function))))
+        uses = F.when(F.col("type") == "field", "reads").otherwise("calls")
+        target = about.select(F.col("id").alias("dst"), F.col("type").alias("kind"), F.col("name").alias("what"), uses.alias("relation"))
+        hit = self.edges.join(target, ["dst", "relation"]).join(self.nodes.select(F.col("id").alias("src"), "name", "file"), "src")
+        who = F.concat(F.when(F.coalesce("confidence", F.lit(1.0)) < 1, "~").otherwise(""), F.col("name"), F.lit(" ("), F.col("file"), F.lit(":"), F.coalesce("source_line", F.lit(0)).cast("string"), F.lit(")"))
+        return hit.groupBy("kind", F.col("what").alias("name")).agg(F.sort_array(F.collect_set(who)).alias("used_by"))
+
+    def points(self, file: str, project: str | None = None, name: str | None = None) -> DataFrame:
+        """Nodes of a file, in one project or all, and of a name if given."""
+        rows = self.nodes.where(F.col("file") == file)
+        for column, value in (("project", project), ("name", name)):
+            rows = rows.where(F.col(column) == value) if value is not None else rows
+        return rows.orderBy("project", "line", "name")
 
     def files_like(self, glob: str, most: int = 12) -> DataFrame:
         """Files whose path holds the last part of a glob without its wildcards."""
@@ -234,7 +311,7 @@ class CodeGraph:
         return self.nodes.where(F.col("file").contains(text)).select(F.concat_ws("/", "project", "file").alias("file")).distinct().orderBy("file").limit(most)
 
     def _own(self, project: str) -> DataFrame:
-        return self.nodes.where(F.col("project") == project)
+        return self.nodes.where(F.col("project") == project).drop("cluster_id")
 
     def _members(self, project: str) -> DataFrame:
         return self._have(self.members, "clusters").join(self._own(project).select("id"), "id", "left_semi")

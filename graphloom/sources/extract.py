@@ -18,6 +18,7 @@ from graphloom.sources.facts import Facts
 from graphloom.sources.manifests import GRAPH_MANIFESTS, MANIFESTS, extract_manifest, parse_manifest
 from graphloom.sources.pattern_code import extract_go, extract_proto, extract_rust, extract_script, extract_shell, extract_solidity
 from graphloom.sources.python_code import extract_python
+from graphloom.storage import materialize
 
 Extractor = Callable[[str, str], Facts]
 EXTRACTORS: dict[str, Extractor] = {".py": extract_python, ".ts": extract_script, ".tsx": extract_script, ".js": extract_script, ".jsx": extract_script, ".rs": extract_rust, ".go": extract_go, ".proto": extract_proto, ".sh": extract_shell, ".bash": extract_shell, ".sol": extract_solidity}
@@ -78,14 +79,18 @@ def resolve_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("project", "file", "source", F.when(F.col("hit").isNotNull(), hit).otherwise(F.col("target")).alias("target"), "relation", "confidence", "source_line", "ord")
 
 
-def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files (project, path, content) -> (nodes, edges) of a full build."""
-    raw = raw_facts(files)
+def build(files: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """files (project, path, content) -> (nodes, edges) of a full build; with ``known`` nodes of other files,
+    which names and imports may mean too, what these files add to them. Each file is parsed once."""
+    raw = materialize(raw_facts(files), "facts")
     found = raw.where("kind = 'node'").select("project", "file", "name", "type", "line", "ord")
     paths = raw.select("project", F.col("file")).distinct().select("project", "file", F.col("file").alias("name"), F.lit("file").alias("type"), F.lit(0).alias("line"), F.lit(-1).cast("bigint").alias("ord"))
-    none = files.sparkSession.createDataFrame([], NODES)
-    nodes = upsert_nodes(none, found.unionByName(paths))
-    return resolve_edges(nodes, resolve_imports(raw, files))
+    nodes = upsert_nodes(files.sparkSession.createDataFrame([], NODES), found.unionByName(paths))
+    if known is None:
+        return resolve_edges(nodes, resolve_imports(raw, files))
+    there = files.select("project", "path").union(known.where("type = 'file'").select("project", "file"))
+    every, edges = resolve_edges(known.unionByName(nodes), resolve_imports(raw, there))
+    return every.join(known.select("id"), "id", "left_anti"), edges
 
 
 def dependencies(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,18 +58,32 @@ def changed_since(root: str, marker: str = ".pass_timestamp") -> list[str]:
     return sorted(set(since)) or git_lines(root, "diff", "--name-only", "HEAD~10")
 
 
+def literal(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def read_files(spark: SparkSession, root: str, project: str, paths: list[str]) -> DataFrame:
     """(project, path, content), read by Spark from a folder that the executors see."""
     if not paths:
         return spark.createDataFrame([], "project string, path string, content string")
-    base = os.path.abspath(root).rstrip("/")
-    texts = spark.read.text([f"{base}/{p}" for p in paths], wholetext=True)
+    base = os.path.abspath(root).rstrip("/") + "/"
+    texts = spark.read.text([literal(base + p) for p in paths], wholetext=True)
     place = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
-    path = F.expr(f"substring(place, instr(place, '{base}/') + {len(base) + 1})")
+    path = F.substr("place", F.instr("place", base) + F.lit(len(base)))
     return texts.withColumn("place", place).select(F.lit(project).alias("project"), path.alias("path"), F.col("value").alias("content"))
 
 
-def by_language(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, extension) of files, for passes by language."""
+#: Languages with a server, by extension.
+SERVED = {".py": "python", ".ts": "typescript", ".tsx": "typescriptreact", ".js": "javascript", ".jsx": "javascriptreact", ".rs": "rust", ".go": "go", ".sol": "solidity"}
+
+
+def by_language(spark: SparkSession, paths: list[str], language: str | None = None) -> DataFrame:
+    """(path, extension, language) of files that a language server reads; folders that a walk leaves out
+    are left out here too."""
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
-    return rows.select("path", F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("extension"))
+    named = rows.select("path", F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("extension"))
+    of = F.create_map(*[F.lit(x) for pair in SERVED.items() for x in pair])
+    skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))
+    found = named.withColumn("language", of[F.col("extension")]).where(F.col("language").isNotNull() & ~skipped)
+    return found.where(F.col("language") == language) if language else found

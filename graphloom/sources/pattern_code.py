@@ -70,6 +70,7 @@ def calls(facts: Facts, text: str, heads: list[tuple[int, str]], names: set[int]
 
 #: Extensions tried for an import, in order.
 SCRIPT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+#: Names that belong to the language or to test tools, not to the project.
 SCRIPT_GLOBALS = ("console", "Math", "JSON", "Object", "Array", "Promise", "String", "Number", "Boolean", "Date", "Error", "Map", "Set", "Symbol", "RegExp", "parseInt", "parseFloat", "isNaN", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "require", "describe", "it", "test", "expect", "beforeEach", "afterEach", "beforeAll", "afterAll", "jest", "vi")
 SCRIPT_IMPORT = re.compile(r"^import\s+(?!type\s)([^'\";]+?)\s+from\s+['\"]([^'\"]+)['\"]|^import\s+['\"]([^'\"]+)['\"]|\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)", M)
 SCRIPT_DECLARED = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*(?P<function>\w+)|(?:abstract\s+)?class\s+(?P<class>\w+)(?:\s+extends\s+(?P<base>[\w.]+))?|(?:const|let|var)\s+(?P<arrow>\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>)", M)

@@ -14,10 +14,15 @@ def commit_events(events: DataFrame) -> DataFrame:
 
 
 def first_of_session(events: DataFrame, keys: list[str], ts: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Each key of a session once. On a stream, with a time column, keys are forgotten after the delay."""
+    """Each key of a session once: of a table the earliest event by the time column, of equals the least
+    row; without a time column any. On a stream, with a time column, keys are forgotten after the delay."""
     if events.isStreaming and ts:
         return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-    return events.dropDuplicates(keys)
+    if events.isStreaming or not ts:
+        return events.dropDuplicates(keys)
+    rest = [c for c in events.columns if c not in keys]
+    first = F.min(F.struct(ts, *[c for c in rest if c != ts])).alias("_first")
+    return events.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*events.columns)
 
 
 def build_on_commit(events: DataFrame, build: Callable[[DataFrame, int], None], checkpoint: str):

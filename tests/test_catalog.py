@@ -13,7 +13,7 @@ from graphloom.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["hubs", "callers_d3", "blast_radius_d3", "detect_changes_risk", "entry_points", "traces_dedup", "search_fuzzy", "rrf_fuse", "dedup_nodes", "resolve_edges", "cluster_label", "contract_match_fuzzy", "contract_match_wildcard", "innermost_scope", "nearest_symbol", "ai_batches", "prompt_budget", "contract_normalize"]
+FEW = ["hubs", "callers_d3", "blast_radius_d3", "path_nodes", "detect_changes_affected", "session_dedup", "detect_changes_risk", "entry_points", "traces_dedup", "search_fuzzy", "rrf_fuse", "dedup_nodes", "resolve_edges", "cluster_label", "contract_match_fuzzy", "contract_match_wildcard", "innermost_scope", "nearest_symbol", "ai_batches", "prompt_budget", "contract_normalize"]
 ROOT = Path(__file__).resolve().parent.parent
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -65,16 +65,22 @@ def test_whole_traces_by_brute_force(spark):
         if not on and len(p) >= 3:
             found.add(p)
     assert any(len(p) > 4 for p in found)
-    rows = catalog.QUERIES["traces_whole"](spark, DATA).collect()
+    rows = catalog.QUERIES["traces"](spark, DATA).collect()
     assert sorted(map(tuple, rows)) == sorted((names[p[0]], names[p[-1]], len(p), ">".join(p)) for p in found)
     longest = {}
     for p in sorted(found, key=lambda p: (-len(p), ">".join(p))):
         longest.setdefault((names[p[0]], names[p[-1]]), p)
     kept = {p for p in longest.values() if not any(len(o) > len(p) and set(p) <= set(o) for o in longest.values())}
-    assert {r.path for r in catalog.QUERIES["traces_dedup_whole"](spark, DATA).collect()} == {">".join(p) for p in kept}
+    assert {r.path for r in catalog.QUERIES["traces_dedup"](spark, DATA).collect()} == {">".join(p) for p in kept}
     most = sorted(kept, key=lambda p: (-len(p), ">".join(p)))[: max(20, len(names) // 10)]
     labels = sorted((f"{names[p[0]]} → {names[p[-1]]}", len(p)) for p in most)
-    assert sorted((r.label, r.step_count) for r in catalog.QUERIES["processes_whole"](spark, DATA).collect()) == labels
+    assert sorted((r.label, r.step_count) for r in catalog.QUERIES["process_labels"](spark, DATA).collect()) == labels
+
+
+def test_entry_without_a_library(tmp_path):
+    """The other queries load where a library of the optional part is missing."""
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; assert len(e.queries()) >= 60 and 'hubs' in e.queries(); assert 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120, env=os.environ | {"PYTHONPATH": str(ROOT)})
 
 
 def test_entry_without_the_optional_part(tmp_path):

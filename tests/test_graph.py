@@ -129,7 +129,7 @@ def test_ai_edges(spark, g):
     said = spark.createDataFrame([("app.py:main", "app.py:process", "calls", 0.9, 3, 0), ("app.py:main", "x:y:z", "reads", None, None, 1), ("a", "b", "likes", 0.9, 3, 2), ("app.py:main", "x:y:z", "reads", 0.1, 1, 3)], "source string, target string, relation string, confidence double, line int, ord long")
     new, counts = store.store_ai_edges(edges, said, "proj", 1)
     assert [(r["relation"], r["confidence"], r["pass"]) for r in new.collect()] == [("reads", 0.8, 1)]
-    assert tuple(counts.first()) == (1, 3)
+    assert tuple(counts.first()) == (1, 2, 1, ["unknown relation likes: 1"])
 
 
 def test_search(spark):
@@ -177,7 +177,7 @@ def test_change_risk(spark, g):
     schema = "file string, ord int"
     changed = spark.createDataFrame([("lib.py", 0)], schema)
     symbols = reports.changed_symbols(nodes, changed, "proj")
-    hit = reports.affected(nodes, edges, symbols)
+    hit = reports.affected(nodes, edges, symbols, "proj")
     assert names(hit) == {"process", "helper", "main"}
     risk = reports.change_risk(changed, symbols, hit, traverse.hubs(nodes, edges, 1)).first()
     assert (risk["risk"], risk["total_affected"], risk["hubs_affected"]) == ("LOW", 3, 0)
@@ -206,3 +206,38 @@ def test_communities_of_a_ring_of_cliques(spark):
     assert len(got) == 40
     ideal = modularity(pairs, {f"n{i}": i // 5 for i in range(40)})
     assert modularity(pairs, {n: got[i] for n, i in ids.items()}) > 0.9 * ideal
+
+
+def test_a_path_of_200_hops(spark):
+    """And the same with every level written as a table, over fewer."""
+    from graphloom import storage
+
+    n = 201
+    nodes = spark.createDataFrame([(f"n{i:03}", f"f{i}", "a.py", i) for i in range(n)], "id string, name string, file string, line int")
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", ["calls", "imports", "reads"][i % 3], 1.0) if i % 2 else (f"n{i + 1:03}", f"n{i:03}", "calls", 1.0) for i in range(n - 1)], "src string, dst string, relation string, confidence double")
+    nodes, edges = storage.materialize(nodes, "t"), storage.materialize(edges, "t")
+    end = lambda i: spark.createDataFrame([(f"n{i:03}",)], "id string")
+    found = traverse.shortest_path(nodes, edges, end(0), end(200)).orderBy("step").collect()
+    assert [r["step"] for r in found] == list(range(n)) and [r["name"] for r in found] == [f"f{i}" for i in range(n)]
+    assert traverse.shortest_path(nodes, edges, end(0), end(50), most_hops=4).count() == 0
+    assert [r["step"] for r in traverse.shortest_path(nodes, edges, end(7), end(7)).collect()] == [0]
+    few, storage.FEW = storage.FEW, 0
+    try:
+        found = traverse.shortest_path(nodes, edges, end(0), end(9)).orderBy("step").collect()
+        assert [r["name"] for r in found] == [f"f{i}" for i in range(10)]
+        reached = traverse.bfs(end(5), edges, 3, "both").collect()
+        assert sorted((r["id"], r["depth"]) for r in reached) == [("n002", 3), ("n003", 2), ("n004", 1), ("n006", 1), ("n007", 2), ("n008", 3)]
+    finally:
+        storage.FEW = few
+
+
+def test_communities_both_ways(spark, monkeypatch):
+    """Two rings joined by one edge, settled by the driver and by joins."""
+    ring = lambda p, n: [(f"{p}{i}", f"{p}{j}") for i in range(n) for j in range(i)]
+    rows = ring("a", 6) + ring("b", 7) + [("a0", "b0")]
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in rows], "src string, dst string, relation string")
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for r in rows for x in r})] + [("z",)], "id string")
+    for few in (500_000, 0):
+        monkeypatch.setattr(clusters, "FEW_LINKS", few)
+        got = {r["id"]: r["cluster_id"] for r in clusters.communities(nodes, edges).collect()}
+        assert {got[f"b{i}"] for i in range(7)} == {0} and {got[f"a{i}"] for i in range(6)} == {1} and got["z"] == 2

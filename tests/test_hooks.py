@@ -5,9 +5,9 @@ from graphloom.operators import hooks, tool_tables
 
 
 def test_terms_and_names(spark):
-    rows = [("Grep", {"pattern": "fooBar"}), ("Grep", {"pattern": "a.*b"}), ("Bash", {"command": "grep -rn 'one|two' src"}), ("Bash", {"command": "rg needle"}), ("Bash", {"command": "ls"}), ("Edit", {"file": "x"})]
+    rows = [("Grep", {"pattern": "fooBar"}), ("Grep", {"pattern": "a.*b"}), ("Bash", {"command": "grep -rn 'one|two' src"}), ("Bash", {"command": "rg needle"}), ("Bash", {"command": "ls"}), ("Edit", {"file": "x"}), ("Bash", {"command": "cat a | grep -A 3 -n \"some_name\" b"}), ("Bash", {"command": "/usr/bin/egrep -i a.b|c-d ."}), ("Bash", {"command": "flag x"}), ("Bash", {"command": "rg"})]
     df = spark.createDataFrame(rows, "tool string, given map<string,string>")
-    assert [r[0] for r in df.select(hooks.search_term(F.col("tool"), F.col("given"))).collect()] == ["fooBar", None, "one", "needle", None, None]
+    assert [r[0] for r in df.select(hooks.search_term(F.col("tool"), F.col("given"))).collect()] == ["fooBar", None, "one", "needle", None, None, "some_name", "c-d", None, None]
     said = spark.createDataFrame([("Find where parse_config and the Loader call loader or something else",)], "t string")
     assert said.select(hooks.prompt_names(F.col("t"))).first()[0] == ["parse_config", "Loader", "something"]
     assert spark.range(1).select(hooks.candidates(F.lit("getUserName"))).first()[0] == ["getusername", "getus", "getu", "get-user-name"]
@@ -48,6 +48,6 @@ def test_server_tables(spark):
     assert [(r["source"], r["target"], r["relation"], r["confidence"]) for r in tool_tables.definition_edges(found, symbols, "p").collect()] == [("f", "b.py:Base", "imports", 0.9)]
     made = spark.createDataFrame([("I", "a.py", "b.py", 10)], "source_name string, source_file string, target_file string, target_line int")
     assert [(r["file"], r["source"], r["target"]) for r in tool_tables.implementation_edges(made, symbols, "p").collect()] == [("b.py", "Base", "a.py:I")]
-    nodes = spark.createDataFrame([("1", "b.py", "Base")], "id string, file string, name string")
-    hover = spark.createDataFrame([("b.py", "Base", "class Base"), ("b.py", "Base", "")], "file string, name string, type_info string")
-    assert tool_tables.add_type_info(nodes, hover).first()["type_info"] == "class Base"
+    nodes = spark.createDataFrame([("1", "p", "b.py", "Base"), ("2", "q", "b.py", "Base"), ("3", "p", "b.py", "Base")], "id string, project string, file string, name string")
+    hover = spark.createDataFrame([("p", "b.py", "Base", "class Base", 1), ("p", "b.py", "Base", "", 2), ("p", "b.py", "Base", "old", 0)], "project string, file string, name string, type_info string, ord int")
+    assert {r["id"]: r["type_info"] for r in tool_tables.add_type_info(nodes, hover).collect()} == {"1": "class Base", "2": None, "3": None}

@@ -96,3 +96,14 @@ def test_streaming(spark, tmp_path):
     assert seen == [1]
     twice = spark.createDataFrame([("s", "k"), ("s", "k"), ("t", "k")], "session string, key string")
     assert first_of_session(twice, ["session", "key"]).count() == 2
+
+
+def test_odd_paths(spark, tmp_path):
+    """Brackets, quotes, globs and spaces in names, and in the folder's own."""
+    root = tmp_path / "it's [a] {b}"
+    for name in ("app/api/users/[id]/route.ts", "a*b.py", "sp ace.py", "it's.py", "pl+us%20.py", "q?.py", "{x}.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("def f():\n    pass\n" if name.endswith(".py") else "export function GET() {}\n")
+    paths = files.tracked_files(str(root))
+    got = files.read_files(spark, str(root), "p", paths).collect()
+    assert len(paths) == 7 and sorted(r["path"] for r in got) == paths and all(r["content"] for r in got)
