@@ -37,8 +37,15 @@ DIGIT = re.compile("[0-9]")
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: A zone: words that hold a digit, an at sign or a plus, a space apart, and the word before for its cue.
-ZONE = re.compile(r"[^\s]*[0-9@+][^\s]*(?:\x20[^\s]*[0-9@+][^\s]*)*")
+#: What a word of a zone holds: a zone is a run of such words, one space apart.
+HOLDS = re.compile("[0-9@+]")
+SPACE = re.compile(r"\s")
+#: The shortest entity, a@b.c; and the characters before a segment that are searched for a cue.
+LEAST_ZONE, CUE_REACH = 5, 28
+#: As far as a numeric entity can reach: 19 digits. With under four there is none.
+NUMBER = re.compile(r"[+(]?(?:[\x20().+-]*[0-9]){4,19}")
+#: Shapes kept by a worker, at about 500 bytes; a full store is emptied.
+MOST_SHAPES = 100_000
 UNIT = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 NUMERIC = frozenset(" ().-+")
 CUES = {
@@ -50,14 +57,12 @@ CUES = {
 NOT_CUE = re.compile(r"(?i)\b(?:order|invoice|version|id|isbn|item|part|date|ref|serial|page|build)\W*(?:no\.?|number)?\W*$")
 
 
+ONES = {c: int(c) for c in "0123456789"}
+TWICE = {c: 2 * int(c) - 9 * (int(c) > 4) for c in "0123456789"}
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        if i % 2:
-            d = d * 2 - 9 * (d > 4)
-        total += d
-    return total % 10 == 0
+    return (sum(map(ONES.__getitem__, digits[::-2])) + sum(map(TWICE.__getitem__, digits[-2::-2]))) % 10 == 0
 
 
 def base_spans(text: str) -> list[Span]:
@@ -87,13 +92,30 @@ def base_spans(text: str) -> list[Span]:
 
 
 def char_class(c: str) -> str:
+    return CLASSES[c]
+
+
+class Classes(dict):
+    """Class of each character, found once."""
+
+    def __missing__(self, c: str) -> str:
+        found = class_of(c)
+        if len(self) < 10000:
+            self[c] = found
+        return found
+
+
+CLASSES = Classes()
+
+
+def class_of(c: str) -> str:
     return "end" if not c else "digit" if c in "0123456789" else "letter" if c.isalpha() else "space" if c.isspace() else c if c in ".-+@/:_()," else "sign"
 
 
 def segment_features(text: str, start: int, end: int, kind: str) -> list[str]:
     """Features of a whole span as an entity of a kind."""
     s = text[start:end]
-    before = text[max(0, start - 28) : start]
+    before = text[max(0, start - CUE_REACH) : start]
     out = ["bias", f"left {char_class(text[start - 1 : start])}", f"right {char_class(text[end : end + 1])}"]
     if CUES[kind].search(before):
         out.append("cue")
@@ -105,22 +127,22 @@ def segment_features(text: str, start: int, end: int, kind: str) -> list[str]:
         host = s.rpartition("@")[2]
         out += [f"at {min(s.count('@'), 2)}", "word end" if re.fullmatch("[A-Za-z]{2,10}", host.rpartition(".")[2]) else "odd end", "clean" if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s) else "broken"]
     elif kind == "ip":
-        out += ["octets" if all(len(g) <= 3 and int(g) <= 255 for g in groups) else "too large", "padded" if any(len(g) > 1 and g[0] == "0" for g in groups) else "plain"]
+        out += values(s, kind)
     elif kind == "card":
-        out += ["luhn" if luhn("".join(digits)) else "no luhn", f"digits {len(digits)}", "issuer" if digits[0] in "3456" else "no issuer", "fours" if all(len(g) == 4 for g in groups[:-1]) and len(groups) > 2 else "run" if len(groups) == 1 else "mixed"]
+        out += [*values(s, kind), f"digits {len(digits)}", "fours" if all(len(g) == 4 for g in groups[:-1]) and len(groups) > 2 else "run" if len(groups) == 1 else "mixed"]
     else:
         out += ["plus" if s[0] == "+" else "no plus", f"digits {len(digits)}", "brackets" if re.search(r"\(\d{2,4}\)", s) else "none", f"groups {min(len(groups), 5)}", "last four" if len(groups[-1]) == 4 and len(groups) > 1 else "last other", f"first {len(groups[0])}" if len(groups) > 1 else "run", "open" if s.count("(") != s.count(")") else "closed", "dots" if "." in s else "no dots"]
     return [f"{kind} {f}" for f in out]
 
 
-def candidates(text: str, units: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Segments (first unit, unit after the last, kind) that could be an entity at all."""
+def candidates(text: str, units: list[tuple[int, int]], first: int | None = None) -> list[tuple[int, int, str]]:
+    """Segments (first unit, unit after the last, kind) that could be an entity at all; with ``first`` only
+    those that begin in so many first units."""
     out = []
     n = len(units)
-    for i in range(n):
-        a, b = units[i]
-        c = text[a]
-        if c in "+(" or c in "0123456789":
+    for i in range(n if first is None else min(first, n)):
+        c = text[units[i][0]]
+        if c in FIRST:
             digits = dots = 0
             plain = quad = c in "0123456789"
             for j in range(i, min(n, i + MOST_UNITS)):
@@ -131,8 +153,6 @@ def candidates(text: str, units: list[tuple[int, int]]) -> list[tuple[int, int,
                 elif u in NUMERIC:
                     dots += u == "."
                     plain, quad = plain and u in " -", quad and u == "."
-                    if u != ")":
-                        continue
                     continue
                 else:
                     break
@@ -145,31 +165,78 @@ def candidates(text: str, units: list[tuple[int, int]]) -> list[tuple[int, int,
                 if 7 <= digits <= 15:
                     out.append((i, j + 1, "phone"))
         elif c == "@":
-            left, k = [], i - 1
-            while k >= 0 and i - k < MOST_UNITS // 2 and text[units[k][0]] in LOCAL_CHARS:
-                if text[units[k][0]].isalnum():
-                    left.append(k)
-                k -= 1
-            k, dot = i + 1, False
-            while k < n and k - i <= MOST_UNITS // 2:
-                u = text[units[k][0]]
-                if u.isascii() and u.isalnum():
-                    if dot:
-                        out += [(x, k + 1, "email") for x in left]
-                elif u == ".":
-                    dot = True
-                elif u != "-":
-                    break
-                k += 1
+            out += around(text, units, i)
+    return out
+
+
+def around(text: str, units: list[tuple[int, int]], i: int) -> list[tuple[int, int, str]]:
+    """Segments around an at sign, with at most half of MOST_UNITS units on either side."""
+    left, k = [], i - 1
+    while k >= 0 and i - k < MOST_UNITS // 2 and text[units[k][0]] in LOCAL_CHARS:
+        if text[units[k][0]].isalnum():
+            left.append(k)
+        k -= 1
+    out, k, dot = [], i + 1, False
+    while k < len(units) and k - i <= MOST_UNITS // 2:
+        c = text[units[k][0]]
+        if c.isascii() and c.isalnum():
+            if dot:
+                out += [(x, k + 1, "email") for x in left]
+        elif c == ".":
+            dot = True
+        elif c != "-":
+            break
+        k += 1
     return out
 
 
+class Shapes(dict):
+    """What stands for each character in a shape: its kind, as far as features without values see it."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "0" if c in "0123456789" else "a" if c.isascii() and c.isalpha() else "\u00e9" if c.isalpha() else c if c in " .-+@/:_(),%" else "\t" if c.isspace() else "\x01"
+        return out
+
+
+SHAPES = Shapes()
+FIRST = frozenset("+(0123456789")
+LETTER = re.compile("[A-Za-z]")
+NO_CUES = (False,) * (len(KINDS) + 1)
+#: Features of a segment's digits, not of its shape, and the pairs of them that can come together.
+VALUES = {"card": [(a, b) for a in ("luhn", "no luhn") for b in ("issuer", "no issuer")], "ip": [(a, b) for a in ("octets", "too large") for b in ("padded", "plain")]}
+BY_VALUE = frozenset(x for pairs in VALUES.values() for p in pairs for x in p) | {"cue", "other cue"}
+
+
+def values(s: str, kind: str) -> list[str]:
+    if kind == "card":
+        digits = s.replace(" ", "").replace("-", "")
+        return ["luhn" if luhn(digits) else "no luhn", "issuer" if digits[0] in "3456" else "no issuer"]
+    if kind == "ip":
+        groups = s.split(".")
+        return ["octets" if all(len(g) <= 3 and int(g) <= 255 for g in groups) else "too large", "padded" if any(len(g) > 1 and g[0] == "0" for g in groups) else "plain"]
+    return []
+
+
+class Weights(dict):
+    """What a unit outside scores, by its first character."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, c: str) -> float:
+        self[c] = found = self.weights.get(f"out {char_class(c)}", 0.0)
+        return found
+
+
 class Field:
     """Weights of a semi-Markov field; segments outside have length one. The state is whether the last
     segment was an entity."""
 
     def __init__(self, weights: dict[str, float]):
         self.w = weights
+        self.memo: dict[tuple, list[tuple[int, str, float, float]]] = {}
 
     def arcs(self, text: str) -> tuple[int, list[tuple[int, int]], list[list[tuple[int, str, list[str]]]]]:
         """For each end position the segments that end there: (start, kind or "", features)."""
@@ -189,28 +256,88 @@ class Field:
             total += w.get(f, 0.0)
         return total
 
-    def decode(self, text: str) -> list[Span]:
-        """The best segmentation's entities."""
-        n, units, ending = self.arcs(text)
-        if not n:
+    def numeric(self, shape: str, left: str, cues: tuple[bool, ...]) -> list[tuple[int, str, float, float]]:
+        """Of the numeric segments that begin a shape (0 for digits, a for letters) those that could be
+        chosen: (length, kind, score without what the digits say, score of its units outside). One whose
+        score can't reach that of its units outside, with two neighbours, is in no best segmentation."""
+        w, out = self.w, []
+        units = [m.span() for m in UNIT.finditer(shape)]
+        beside = 2 * max(w.get("beside", 0.0), 0.0)
+        outside = [w.get(f"out {char_class(shape[a])}", 0.0) for a, _ in units[:MOST_UNITS]]
+        for i, j, kind in candidates(shape, units, 1):
+            end = units[j - 1][1]
+            features = segment_features(shape, i, end, kind)
+            known = [f for f in features if f.partition(" ")[2] not in BY_VALUE and f.partition(" ")[2].partition(" ")[0] != "left"]
+            score = sum(w.get(f, 0.0) for f in known) + w.get(f"{kind} left {left}", 0.0)
+            score += sum(w.get(f"{kind} {name}", 0.0) for name, on in zip(("cue", "other cue"), (cues[KINDS.index(kind)], cues[-1])) if on)
+            best = score + max(w.get(f"{kind} {a}", 0.0) + w.get(f"{kind} {b}", 0.0) for a, b in VALUES.get(kind, [("", "")]))
+            rest = sum(outside[: j])
+            if best + beside > rest:
+                out.append((end, kind, score, rest))
+        return out
+
+    def decode(self, text: str, start: int = 0, end: int | None = None) -> list[Span]:
+        """The entities of the best segmentation of a zone. Numeric segments are scored once a shape, which
+        the zones of a table share; the rest of their score comes from their digits."""
+        end = len(text) if end is None else end
+        w, memo = self.w, self.memo
+        said = {(k, v): w.get(f"{k} {v}", 0.0) for k, pairs in VALUES.items() for p in pairs for v in p}
+        aside = Weights(w)
+        units = [m.span() for m in UNIT.finditer(text, start, end)]
+        beside = 2 * max(w.get("beside", 0.0), 0.0)
+        found: dict[int, list[tuple[int, str, float]]] = {}
+        at = None
+        for i, (a, b) in enumerate(units):
+            c = text[a]
+            if c in FIRST:
+                reach = NUMBER.match(text, a, end)
+                if not reach:
+                    continue
+                near = text[max(0, a - CUE_REACH) : a]
+                cues = tuple([bool(CUES[k].search(near)) for k in KINDS] + [bool(NOT_CUE.search(near))]) if LETTER.search(near) else NO_CUES
+                left = char_class(text[a - 1 : a])
+                # One more character for the right side; past the zone it is white space.
+                key = text[a : reach.end() + 1].translate(SHAPES), left, cues
+                scored = memo.get(key)
+                if scored is None:
+                    if len(memo) >= MOST_SHAPES:
+                        memo.clear()
+                    scored = memo[key] = self.numeric(*key)
+                for size, kind, score, rest in scored:
+                    if kind != "phone":
+                        x, y = values(text[a : a + size], kind)
+                        score += said[kind, x] + said[kind, y]
+                    if score + beside > rest:
+                        if at is None:
+                            at = {y: k + 1 for k, (_, y) in enumerate(units)}
+                        found.setdefault(at[a + size], []).append((i, kind, score))
+            elif c == "@":
+                for x, y, kind in around(text, units, i):
+                    score = sum(w.get(f, 0.0) for f in segment_features(text, units[x][0], units[y - 1][1], kind))
+                    found.setdefault(y, []).append((x, kind, score))
+        if not found:
             return []
-        best = [[0.0, -math.inf]] + [[-math.inf, -math.inf] for _ in units]
-        back: list[list] = [[None, None] for _ in range(len(units) + 1)]
-        for j in range(1, len(units) + 1):
-            for i, kind, features in ending[j]:
-                for state in (0, 1):
-                    if best[i][state] > -math.inf:
-                        now = best[i][state] + self.score(features, state, kind)
-                        if now > best[j][bool(kind)]:
-                            best[j][bool(kind)] = now
-                            back[j][bool(kind)] = (i, state, kind)
-        out, j = [], len(units)
-        state = int(best[j][1] > best[j][0])
+        joined = w.get("beside", 0.0)
+        low = -math.inf
+        plain, entity = [0.0], [low]
+        back: dict[int, tuple[int, int, str]] = {}
+        for j, (a, _) in enumerate(units, 1):
+            plain.append(max(plain[-1], entity[-1]) + aside[text[a]])
+            best = low
+            for i, kind, score in found.get(j, ()):
+                now, before = (plain[i], 0) if plain[i] >= entity[i] + joined else (entity[i] + joined, 1)
+                if now + score > best:
+                    best, back[j] = now + score, (i, before, kind)
+            entity.append(best)
+        out, j, state = [], len(units), entity[-1] > plain[-1]
         while j:
-            i, before, kind = back[j][state]
-            if kind:
+            if state:
+                i, state, kind = back[j]
                 out.append((kind, units[i][0], units[j - 1][1]))
-            j, state = i, before
+                j = i
+            else:
+                j -= 1
+                state = entity[j] > plain[j]
         return out[::-1]
 
 
@@ -271,7 +398,7 @@ def sentences(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": phone,
-        "": lambda: r.choice([d(r.randint(1, 6)), f"{d(4)}-{d(2)}-{d(2)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"{r.randint(256, 999)}.{d(3)}.{d(3)}.{d(3)}", d(16), d(8), d(10), d(12), f"{d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(1)}", word() + d(3), "a" + d(9) + "b" + d(7), f"@{word()}", f"{d(2)}:{d(2)}", f"{d(5)}-{d(4)}", f"{d(4)} {d(4)}"]),
+        "": lambda: r.choice([d(r.randint(1, 6)), f"{d(4)}-{d(2)}-{d(2)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"{r.randint(256, 999)}.{d(3)}.{d(3)}.{d(3)}", d(16), d(8), d(10), d(12), f"{d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(1)}", word() + d(3), "a" + d(9) + "b" + d(7), f"@{word()}", f"{d(2)}:{d(2)}", f"{d(5)}-{d(4)}", f"{d(4)} {d(4)}", " ".join(d(r.randint(1, 4)) for _ in range(r.randint(3, 9))), " ".join([d(2)] * r.randint(3, 9))]),
     }
     cues = {"email": ["mail ", "contact: "], "ip": ["host ", "ip: "], "card": ["card ", "visa no. "], "phone": ["tel ", "call ", "phone: "], "": ["order ", "invoice no. ", "id ", "version ", "ref "]}
     out = []
@@ -313,14 +440,30 @@ def trained(n: int = 500, rounds: int = 30, ridge: float = 0.02) -> Field:
     return field
 
 
+def zones(text: str):
+    """(start, end) of the zones, found from their digits and signs outwards, so in time linear in the text
+    however long its words are."""
+    start = end = -1
+    m = HOLDS.search(text)
+    while m:
+        a, gone = m.start(), SPACE.search(text, m.end())
+        b = gone.start() if gone else len(text)
+        while a > max(end, 0) and not text[a - 1].isspace():
+            a -= 1
+        if end >= 0 and a == end + 1 and text[end] == " ":
+            end = b
+        else:
+            if end >= 0:
+                yield start, end
+            start, end = a, b
+        m = HOLDS.search(text, b)
+    if end >= 0:
+        yield start, end
+
+
 def more_spans(text: str, field: Field, base: list[Span]) -> list[Span]:
-    """The field's spans that overlap no base span. A zone is read with the words before it as context."""
-    found = []
-    for m in ZONE.finditer(text):
-        if m.end() - m.start() < 7:
-            continue
-        lead = max(0, m.start() - 28)
-        found += [(k, lead + s, lead + e) for k, s, e in field.decode(text[lead : m.end() + 1]) if lead + s >= m.start()]
+    """The field's spans that overlap no base span."""
+    found = [x for a, b in zones(text) if b - a >= LEAST_ZONE for x in field.decode(text, a, b)]
     if not found:
         return found
     taken = sorted((s, e) for _, s, e in base)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from graphloom.llm import pii_crf, secret_scan
 from graphloom.llm.spans import replace_spans
@@ -62,32 +63,112 @@ def test_field_finds_made_entities():
 
 
 def test_decoding_is_the_best_segmentation():
-    """Against all segmentations of short texts."""
-    field = pii_crf.trained()
+    """Against a plain programme over all segments with all their features, on made and on mixed zones."""
+    field, r = pii_crf.trained(), random.Random(5)
 
-    def best(ending, j):
-        if not j:
-            return {0: 0.0}
-        out = {}
-        for i, kind, features in ending[j]:
-            for state, value in best(ending, i).items():
-                now = value + field.score(features, state, kind)
-                out[int(bool(kind))] = max(out.get(int(bool(kind)), now), now)
-        return out
-
-    for text in ("call 555-123-4567", "ip 1.2.3.4", "a@b.co x", "12 34"):
-        _, units, ending = field.arcs(text)
-        total = max(best(ending, len(units)).values())
-        spans, at, got, state = field.decode(text), 0, 0.0, 0
+    def best(units, ending):
+        table = [[0.0, -1e18]] + [[-1e18] * 2 for _ in units]
         for j in range(1, len(units) + 1):
-            for k, s, e in spans:
-                if units[j - 1][1] == e:
-                    got += field.score(pii_crf.segment_features(text, s, e, k), state, k)
-                    state, at = 1, j
-            if not any(s <= units[j - 1][0] < e for _, s, e in spans):
-                got += field.score([f"out {pii_crf.char_class(text[units[j - 1][0]])}"], state, "")
-                state = 0
-        assert abs(total - got) < 1e-9, text
+            for i, kind, features in ending[j]:
+                for state in (0, 1):
+                    table[j][bool(kind)] = max(table[j][bool(kind)], table[i][state] + field.score(features, state, kind))
+        return max(table[-1])
+
+    pieces = ["12", "4", "555", "1234", "+1", "(", "(44)", ")", " ", " ", "-", ".", "x", "a@b.co", "é", "٣", ",", "/", "call ", "card ", "order "]
+    zones = [t for t, _ in pii_crf.sentences(60, 5)] + ["".join(r.choice(pieces) for _ in range(r.randint(1, 22))) for _ in range(300)]
+    for text in zones:
+        _, units, ending = field.arcs(text)
+        spans, got, state = field.decode(text), 0.0, 0
+        ends = {e: (k, s) for k, s, e in spans}
+        for a, b in units:
+            if b in ends:
+                kind, s = ends[b]
+                got, state = got + field.score(pii_crf.segment_features(text, s, b, kind), state, kind), 1
+            elif not any(s <= a < e for _, s, e in spans):
+                got, state = got + field.score([f"out {pii_crf.char_class(text[a])}"], state, ""), 0
+        assert abs(best(units, ending) - got) < 1e-9, text
+
+
+def test_zones_and_spans_by_brute_force():
+    """Zones as a plain pattern finds them, and the field's spans in them that meet no base span."""
+    field, r = pii_crf.trained(), random.Random(9)
+    word = re.compile(r"[^\s]*[0-9@+][^\s]*(?:\x20[^\s]*[0-9@+][^\s]*)*")
+    for _ in range(300):
+        text = "".join(r.choice(["abc", " ", " ", "\n", "5", "+1 (389) 555-5010", "a.b@c.org", "4111 1111 1111 1111", "\u2003", "call 555-867-5309", "10.0.0.1", "é", "x@"]) for _ in range(r.randint(0, 14)))
+        assert list(pii_crf.zones(text)) == [m.span() for m in word.finditer(text)]
+        base = pii_crf.base_spans(text)
+        every = {x for a, b in pii_crf.zones(text) if b - a >= 5 for x in field.decode(text, a, b)}
+        want = sorted((x for x in every if not any(x[1] < e and s < x[2] for _, s, e in base)), key=lambda x: x[1])
+        assert pii_crf.more_spans(text, field, base) == want
+
+
+def test_real_sentences():
+    """Sentences that the trainer's generator doesn't make."""
+    scan = pii_crf.scanner(pii_crf.trained())
+    found = lambda t: [(k, t[s:e]) for k, s, e in scan(t)[1]]
+    assert found("Please call me at 555-867-5309 tomorrow.") == [("phone", "555-867-5309")]
+    assert found("Reach us by phone: (212) 555 0187 or fax 212.555.0188") == [("phone", "(212) 555 0187"), ("phone", "212.555.0188")]
+    assert found("4111111111111111 5500000000000004") == [("card", "4111111111111111"), ("card", "5500000000000004")]
+    for clean in ("Order number 8675309 shipped 2024-05-17 at 10:42.", "version 10.2.3.400 of the tool", "ISBN 978-3-16-148410-0", "1 2 3 4 5 6 7 8 9 10 11 12", "scores 12 34 56 78 90", "Population 1 234 567 890 in 2020", "lat 52.5200 lon 13.4050"):
+        assert found(clean) == [], clean
+
+
+def test_long_words_and_digit_tables():
+    """A megabyte each, in seconds."""
+    scan, r = pii_crf.scanner(pii_crf.trained()), random.Random(1)
+    for text in ("x" * 1_000_000 + " 1", "12 34 56 " * 111_111, "1" * 1_000_000, "a@" * 500_000, " 1\n" * 333_333):
+        began = time.process_time()
+        scan(text)
+        assert time.process_time() - began < 10
+    assert len(scan(" ".join(str(r.randint(0, 999)) for _ in range(20_000)))[0]) < 20_000
+
+
+def plain_links(text, base, weak):
+    """Pairs of parts that are near and not parted by a blank line, their groups, and what each group has."""
+    parts = sorted({*base, *weak}, key=lambda x: (x[1], x[2]))
+    group = list(range(len(parts)))
+    for i, (_, s, e) in enumerate(parts):
+        for j, (_, s2, e2) in enumerate(parts):
+            a, b = min(e, e2), max(s, s2)
+            if i != j and (a >= b or (b - a <= secret_scan.REACH and "\n\n" not in text[a:b])):
+                old, new = group[j], group[i]
+                group = [new if g == old else g for g in group]
+    out = []
+    for i, part in enumerate(parts):
+        role = secret_scan.ROLE[part[0]]
+        others = [secret_scan.ROLE[p[0]] for j, p in enumerate(parts) if j != i and group[j] == group[i]]
+        if part[0] in secret_scan.NEEDS and any(all(r in others for r in need) for need in secret_scan.NEEDS[part[0]]):
+            out.append(part)
+    return out
+
+
+def test_linking_by_brute_force(spark, docs_of):
+    """Credentials in several parts, and decoys that lack one, over filler of many lengths."""
+    r = random.Random(31)
+    mixed = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    make = {
+        "id": lambda: "AKIA" + mixed(16).upper(), "secret": lambda: "a1B" + mixed(37), "user": lambda: f"user: {mixed(6)}", "endpoint": lambda: f"https://{mixed(5).lower()}.example.com/{mixed(4)}",
+        "strong": lambda: f"password={mixed(14)}", "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(32)),
+    }
+    texts = []
+    for _ in range(300):
+        text = ""
+        for _ in range(r.randint(1, 6)):
+            text += make[r.choice(list(make))]() + r.choice([" ", "\n", "\n\n", " x" * r.choice([5, 60, 99, 101, 150]), "\n" + "word " * 30])
+        texts.append(text)
+    kept = 0
+    for text in texts:
+        base = secret_scan.base_spans(text)
+        weak = secret_scan.weak_spans(text, base)
+        want = plain_links(text, base, weak)
+        assert sorted(secret_scan.linked(text, base, weak)) == sorted(want), text
+        kept += len(want)
+    assert kept > 100 and any(secret_scan.weak_spans(t, secret_scan.base_spans(t)) and not secret_scan.linked(t, secret_scan.base_spans(t), secret_scan.weak_spans(t, secret_scan.base_spans(t))) for t in texts)
+    rows = secret_scan.scan_secrets(docs_of(list(enumerate(texts)))).collect()
+    for row in rows:
+        base = secret_scan.base_spans(texts[row.doc_id])
+        every = base + plain_links(texts[row.doc_id], base, secret_scan.weak_spans(texts[row.doc_id], base))
+        assert sorted(row.spans.split(",")) == sorted(f"{k}:{s}:{e}" for k, s, e in every) or (not every and not row.spans)
 
 
 def test_rows(spark, docs_of):
