@@ -100,7 +100,8 @@ def read_chunk(data: bytes) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, kind: str = "byte", bits: bool = False) -> None:
-    """documents (doc_id, text) -> the data set at path, in ascending doc_id order."""
+    """documents (doc_id, text) -> the data set at path, in ascending doc_id order. Ranges go by doc_id and
+    the text's beginning, so texts that share a doc_id aren't bound to one task."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -133,7 +134,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ki
         if doc_ids:
             yield full()[0]
 
-    ordered = pick(docs, doc_id="doc_id", text="text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = pick(docs, doc_id="doc_id", text="text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     arrow_map(ordered, run, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 

@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset
-    (one machine, as in tests) a folder of this machine is set in its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine, as in tests,
+    a folder of it is set where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,5 +58,13 @@ def pick(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
 
 
+def keep_rows(docs: DataFrame, first: DataFrame, **keys: Column) -> DataFrame:
+    """Rows of docs whose keys are in ``first`` (the names of keys), one a key, with docs' own columns, also
+    where those have the keys' names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(whole, *[c.alias(k) for k, c in keys.items()])
+    return keyed.join(first, list(keys), "left_semi").dropDuplicates(list(keys)).select("row.*")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -1,17 +1,20 @@
 """Quality classifier by compression: which dictionary, of good or of bad text, makes a text smaller.
 
-A zstandard dictionary is built from slices of good and another from slices of bad labelled texts. A
-text goes through both compressors, whole, in blocks of BLOCK bytes so that the dictionary weighs in
-every block. The difference of the two sizes, divided by the larger, and the smaller size over the
-text's own (text that repeats itself shrinks with any dictionary) are calibrated into a probability
-by a logistic regression over other labelled rows than those in the dictionaries.
+zstandard trains one dictionary on slices of good and another on slices of bad labelled texts. A text goes
+through both compressors, whole, in blocks of each size in BLOCKS, so that the dictionary weighs in every
+block. The inputs of a score are normalised differences of compressed sizes alone: between the dictionaries
+at each block size, over the larger size, and between one block size and the next under each dictionary,
+over the first (a text that repeats itself gains most). A logistic regression over them and their squares,
+on other labelled rows than those in the dictionaries, calibrates them into a probability.
 
 Learning uses a bounded sample of the labelled rows: DICTIONARY_ROWS a class for the dictionaries and
 CALIBRATION_ROWS a class for the calibration, the least by hash of doc_id.
 
 Defined cases: a null text counts as empty; empty texts get a score too. doc_ids with several labels
 count by their mean, one half as good; labels that are null are left out, as are null doc_ids. Without
-rows of both classes every score is the smoothed share of good labels. Repeated rows are scored each.
+rows of both classes every score is the smoothed share of good labels. Where a class has too little text
+to train on, its slices themselves are its dictionary. Repeated rows are scored each, and learned from once
+an id.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ FOLDS = 5
 DICTIONARY_ROWS = 200
 CALIBRATION_ROWS = 1500
 DICTIONARY_BYTES = 65536
-BLOCK = 2048
+BLOCKS = (128, 512, 2048)
+#: Of a text in a dictionary, at most so many slices of the largest block, evenly from all of it.
+SLICES = 8
 LEVEL = 3
 RIDGE = 1.0
 THRESHOLD = 0.3
@@ -49,35 +54,50 @@ class Model:
 
 
 class Sizes:
-    """Compressed sizes of texts under both dictionaries."""
+    """Compressed sizes of texts under both dictionaries, as normalised differences and their squares."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.to = [self._compressor(d) for d in (good, bad)]
 
     @staticmethod
     def _compressor(data: bytes):
-        own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own = zstandard.ZstdCompressionDict(data)
         own.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    def __call__(self, text: str | None) -> list[float]:
-        raw = (text or "").encode()
-        good, bad = (sum(len(c(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK)) for c in self.to)
-        difference = (bad - good) / max(good, bad, 1)
-        shrunk = np.log(min(good, bad) / max(len(raw), 1) + 0.01)
-        return [difference, shrunk, shrunk * shrunk, difference * shrunk, np.log(len(raw) + 1.0)]
-
+    def sizes(self, raw: bytes, block: int) -> list[int]:
+        view = memoryview(raw)
+        parts = [view[i : i + block] for i in range(0, len(raw), block)]
+        return [sum(map(len, map(compress, parts))) for compress in self.to]
 
-def slices(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """An equal share from the middle of each text, an eighth of it at most: a text that stands whole in
-    a dictionary would shrink to nothing and be taken for one that repeats itself."""
-    share, out = max(64, size // max(1, len(texts))), []
-    for t in texts:
-        raw = t.encode()
-        take = min(share, len(raw) // 8)
-        at = (len(raw) - take) // 2
-        out.append(raw[at : at + take])
-    return b"".join(out)[:size]
+    def __call__(self, text: str | None) -> list[float]:
+        raw, out, last = (text or "").encode(), [], None
+        for block in BLOCKS:
+            good, bad = now = self.sizes(raw, block)
+            out.append((bad - good) / max(good, bad, 1))
+            if last:
+                out += [(a - b) / max(a, 1) for a, b in zip(last, now)]
+            last = now
+        return out + [x * x for x in out]
+
+
+def dictionary(samples: list[bytes]) -> bytes:
+    """A trained dictionary, an eighth of the samples at most; the samples themselves where zstandard can't
+    train on so few."""
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:DICTIONARY_BYTES]
+
+
+def slices(text: Column) -> Column:
+    """Up to SLICES slices of a text's bytes, evenly from all of it: the whole text if it is that short."""
+    raw, block = F.encode(text, "UTF-8"), BLOCKS[-1]
+    n = F.octet_length(text)
+    count = F.least(F.lit(SLICES), F.ceil(n / block).cast("int"))
+    step = (n - block) / F.greatest(count - 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(raw, F.floor(F.greatest(step, F.lit(0)) * i).cast("int") + 1, F.lit(block)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -122,9 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         return nothing
     ids = docs.sparkSession.createDataFrame(roles, "doc_id long, label int, in_dictionary int")
     chosen = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(ids), "doc_id")
-    built = chosen.where("in_dictionary = 1 and text is not null").select("label", "doc_id", "text").collect()
-    texts = [[r["text"] for r in sorted(built, key=lambda r: (r["doc_id"], r["text"])) if r["label"] == k] for k in (0, 1)]
-    good, bad = slices(texts[1]), slices(texts[0])
+    chosen = chosen.groupBy("doc_id", "label", "in_dictionary").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    built = chosen.where("in_dictionary = 1 and text <> ''").select("label", "doc_id", slices(F.col("text")).alias("parts")).collect()
+    parts = [[bytes(p) for r in sorted(built, key=lambda r: r["doc_id"]) if r["label"] == k for p in r["parts"]] for k in (0, 1)]
+    good, bad = dictionary(parts[1]), dictionary(parts[0])
     if len(good) < 8 or len(bad) < 8:
         return nothing
 

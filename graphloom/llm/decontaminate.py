@@ -34,8 +34,8 @@ SIMILARITY = 0.8
 RADIUS = 15
 BLOCKS = 4
 MOST_BYTES = 64 << 20
-#: Bytes of a row in a broadcast table by one key, at most.
-ROW_BYTES = 64
+#: Bytes of a row in a broadcast table, as measured.
+ROW_BYTES = 150
 
 #: Counters of 22 bits, three in a long: bits k, k + 22 and k + 44. They hold the shingles of an item or a
 #: window, under 4 million.

@@ -2,11 +2,15 @@
 
 What fits together depends on lengths alone, so the packing is solved over the histogram of lengths:
 at most ``capacity`` counts, however many documents there are. Best-fit decreasing over the histogram
-is the first incumbent. Bin completion then looks for fewer sequences: it takes the largest length
-left, enumerates the undominated fillings of the room beside it, and branches over them, closest fill
-first; a branch whose waste can't lead below the incumbent is cut. A filling is used as many times as
-its lengths last, so the result is a short list of patterns with counts. The search ends after
-``nodes`` steps with the incumbent it has; every piece is placed in any case.
+is the first incumbent; if it meets the lower bound it is the answer. Bin completion else looks for fewer
+sequences: it takes the largest length left, enumerates the undominated fillings of the room beside it,
+those of the greatest sum first, by a table of the sums that the lengths can reach, and branches over
+them and over how often each is used, most first; a branch whose waste can't lead below the incumbent is
+cut. The search is made twice, for fillings of few long and of many short pieces. The result is a short
+list of patterns with counts. Bounds: a node combines at most TRIED lengths, the longest and the shortest
+that fit, looks at the FOUND fillings of greatest sum and branches over at most FILLINGS undominated ones,
+of which one counts as undominated if the proof takes over PROOF steps; a search ends after ``nodes`` steps
+with the incumbent it has. They can cost sequences, never a piece: every piece is placed in any case.
 
 Pieces are ranked within their length in salted groups, and rank and pattern give the place.
 
@@ -17,7 +21,7 @@ An empty table gives no row.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,11 @@ from graphloom.llm.common import arrow_map, materialize, pick
 
 #: (lengths of one sequence, largest first; how many such sequences)
 Pattern = tuple[tuple[int, ...], int]
-NODES = 12000
+NODES = 2500
+TRIED = 768
+FOUND = 24
 FILLINGS = 8
-PROOF = 32
+PROOF = 16
 MOST_SALTS = 1024
 
 
@@ -99,32 +105,61 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(a) >= sum(b) and place(0)
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room that waste at most ``waste``, closest first. lengths: ascending."""
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that are needed in any case: by the sum of lengths, and by how many lengths over a
+    (k + 1)th of the capacity there are, of which k fit into one."""
+    least, over = -(-sum(x * n for x, n in counts.items()) // capacity), 0
+    longest = sorted(counts, reverse=True)
+    for x, after in zip(longest, [*longest[1:], 0]):
+        over += counts[x]
+        k = capacity // x
+        if not after or capacity // after > k:
+            least = max(least, -(-over // k))
+    return least
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int, short_first: bool = False) -> list[tuple[int, ...]]:
+    """Undominated fillings of a room that waste at most ``waste``, the greatest sums first. lengths:
+    ascending. Bit s of reach[k] tells whether the first k lengths can add up to s, so no step of the
+    enumeration leads nowhere."""
+    usable, mask = lengths[: bisect_right(lengths, room)], (1 << (room + 1)) - 1
+    if len(usable) > TRIED:
+        usable = usable[: TRIED // 2] + usable[-(TRIED // 2) :]
+    if short_first:
+        usable.reverse()
+    reach = [1]
+    for x in usable:
+        sums, left, size = reach[-1], min(counts[x], room // x), 1
+        while left > 0:
+            take = min(size, left)
+            sums |= sums << (take * x)
+            left, size = left - take, size * 2
+        reach.append(sums & mask)
     found: list[tuple[int, ...]] = []
-    steps = 0
 
-    def grow(items: tuple[int, ...], left: int) -> None:
-        nonlocal steps
-        top = min(left, items[-1]) if items else left
-        k = bisect_left(lengths, top + 1) - 1
-        grew = False
-        while k >= 0 and steps < 400 and len(found) < 3 * FILLINGS:
-            x = lengths[k]
+    def add_up(total: int, k: int, items: tuple[int, ...]) -> None:
+        """Every way to get a total from the first k lengths, the last of them first."""
+        if not total:
+            found.append(items)
+            return
+        if not short_first:
+            k = min(k, bisect_right(usable, total))
+        while k and reach[k] >> total & 1 and len(found) < FOUND:
             k -= 1
-            if counts[x] <= items.count(x):
+            x = usable[k]
+            if x < total and reach[k] >> (total - x) & 1 == 0 and counts[x] == 1:
                 continue
-            steps += 1
-            grew = True
-            grow((*items, x), left - x)
-            # What the next smaller lengths can add no longer comes within the waste allowed.
-            if left - x == 0 or (items and left - x > waste and len(items) > 6):
-                break
-        if not grew and left <= waste:
-            found.append(items)
-
-    grow((), room)
-    found = sorted(set(found), key=lambda f: (-sum(f), len(f)))[: 3 * FILLINGS]
+            for times in range(min(counts[x], total // x), 0, -1):
+                if reach[k] >> (total - times * x) & 1:
+                    add_up(total - times * x, k, items + (x,) * times)
+
+    sums = reach[-1]
+    while sums and len(found) < FOUND:
+        total = sums.bit_length() - 1
+        if room - total > waste:
+            break
+        add_up(total, len(usable), ())
+        sums ^= 1 << total
     kept: list[tuple[int, ...]] = []
     for f in found:
         if not any(dominates(g, f) for g in kept):
@@ -134,16 +169,16 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int)
     return kept
 
 
-def bin_completion(counts: dict[int, int], capacity: int, most: int, nodes: int = NODES) -> list[Pattern] | None:
+def bin_completion(counts: dict[int, int], capacity: int, most: int, nodes: int = NODES, short_first: bool = False) -> list[Pattern] | None:
     """A packing into fewer than ``most`` sequences, or None if the search finds none. Counts are changed
     in place and put back on the way up, so the search holds one histogram."""
     rest, lengths = dict(counts), sorted(counts)
-    total = sum(k * n for k, n in counts.items())
+    total, least = sum(k * n for k, n in counts.items()), lower_bound(counts, capacity)
     best: list[Pattern] | None = None
     used: list[Pattern] = []
     bins = wasted = spent = 0
-    # Of each sequence pattern on the way down: the fillings not tried yet.
-    open_: list[list[tuple[int, ...]]] = []
+    # Of each sequence pattern on the way down: the patterns not tried yet, the next one last.
+    open_: list[list[Pattern]] = []
 
     def change(items: tuple[int, ...], times: int) -> None:
         """Takes the items out, or with negative times puts them back."""
@@ -155,37 +190,43 @@ def bin_completion(counts: dict[int, int], capacity: int, most: int, nodes: int
             elif not was:
                 insort(lengths, x)
 
+    def branches() -> list[Pattern]:
+        """Each filling as often as its lengths last and the waste allows, then each once less, and so on."""
+        allowed, big = (most - 1) * capacity - total - wasted, lengths[-1]
+        if allowed < 0 or spent > nodes:
+            return []
+        rest[big] -= 1
+        found = [(big, *f) for f in fillings(lengths if rest[big] else lengths[:-1], rest, capacity - big, allowed, short_first)]
+        rest[big] += 1
+        out = []
+        for items in found:
+            waste = capacity - sum(items)
+            times = min(rest[x] // items.count(x) for x in items)
+            out.append((items, max(1, min(times, allowed // waste)) if waste else times))
+        fewer = [(f, t) for f, times in out for t in range(times - 1, max(0, times - FILLINGS), -1)]
+        return (out + sorted(fewer, key=lambda p: -p[1]))[::-1]
+
     while True:
         if lengths:
-            allowed, big = (most - 1) * capacity - total - wasted, lengths[-1]
             spent += 1
-            if allowed >= 0 and spent <= nodes:
-                rest[big] -= 1
-                open_.append(fillings(lengths, rest, capacity - big, allowed)[::-1])
-                rest[big] += 1
-            else:
-                open_.append([])
+            open_.append(branches())
         else:
             if bins < most:
                 best, most = list(used), bins
             open_.append([])
-        # Up to the last pattern with a filling left, then down along that one.
+        # Up to the last pattern with a branch left, then down along that one.
         while open_ and not open_[-1]:
             open_.pop()
             if open_:
                 items, times = used.pop()
                 change(items, -times)
                 bins, wasted = bins - times, wasted - times * (capacity - sum(items))
-        if not open_ or spent > nodes or (best is not None and most * capacity - total < capacity):
+        if not open_ or spent > nodes or most <= least:
             return best
-        allowed, big = (most - 1) * capacity - total - wasted, lengths[-1]
-        items = (big, *open_[-1].pop())
-        times, waste = min(rest[x] // items.count(x) for x in items), capacity - sum(items)
-        if waste:
-            times = max(1, min(times, allowed // waste))
+        items, times = open_[-1].pop()
         change(items, times)
         used.append((items, times))
-        bins, wasted = bins + times, wasted + times * waste
+        bins, wasted = bins + times, wasted + times * (capacity - sum(items))
 
 
 def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
@@ -195,9 +236,10 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Patt
     if not rest:
         return out
     found = best_fit_decreasing(rest, capacity)
-    bins = sum(n for _, n in found)
-    if bins > -(-sum(k * n for k, n in rest.items()) // capacity):
-        found = bin_completion(rest, capacity, bins, nodes) or found
+    for short_first in (False, True):
+        bins = sum(n for _, n in found)
+        if bins > lower_bound(rest, capacity):
+            found = bin_completion(rest, capacity, bins, nodes, short_first) or found
     return out + found
 
 

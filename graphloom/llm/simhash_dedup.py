@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_map, materialize, pick
+from graphloom.llm.common import arrow_map, keep_rows, materialize, pick
 from graphloom.llm.components import connected_components
 
 BITS = 64
@@ -234,5 +234,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     none = F.lit(-(1 << 63))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", none).alias("key"), F.col("th"))).alias("x")
     kept = classes(docs).groupBy("root").agg(first).select("x.key", "x.th")
-    keyed = docs.withColumns({"key": F.coalesce("doc_id", none), "th": F.xxhash64("text")})
-    return keyed.join(kept, ["key", "th"], "left_semi").dropDuplicates(["key", "th"]).select(*docs.columns)
+    return keep_rows(docs, kept, key=F.coalesce("doc_id", none), th=F.xxhash64("text"))

@@ -3,12 +3,15 @@
 Encoding a whole text costs about a CPU second a megabyte, nearly all of it in splitting words that
 came before. Both vocabularies cut a text into words first and encode each word on its own, so a
 worker keeps the ids of words it has seen and hands only unseen words to the library. Texts whose
-white space could make a cut ambiguous go to the library whole. The ids equal those of
+white space could make a cut ambiguous go to the library whole, and so do words with a character that
+this Python's Unicode tables don't know and the library's may. A tokenizer file whose normalizer and
+cutting aren't those assumed here is refused. The ids equal those of
 ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -25,6 +28,21 @@ WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\
 #: Python takes these for white space, the tokenizers don't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SIGMA = "Σ"
+#: What a file must say for the cutting here to be its own.
+CUTS = {
+    "byte": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+}
+
+
+def known(word: str) -> bool:
+    return word.isascii() or all(unicodedata.category(c) != "Cn" for c in word)
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,6 +89,8 @@ class Words(dict):
     def find(self, word: str) -> bytes | None:
         if "<" in word and any(s in word for s in self.special):
             return None if word[-1].isspace() else self.whole(word)
+        if not known(word):
+            return None if word[-1].isspace() or self.kind == "byte" else self.whole(word)
         if self.kind == "byte":
             cut = BYTE_PARTS.findall(word)
             if cut[0].isspace() or cut[-1].isspace():
@@ -92,6 +112,9 @@ class Encoder:
 
     def __init__(self, path: str, kind: str):
         self.library = Tokenizer.from_file(path)
+        said = json.loads(self.library.to_str())
+        if (said["normalizer"], said["pre_tokenizer"]) != CUTS[kind]:
+            raise ValueError(f"{path} doesn't cut texts as a tokenizer of kind {kind!r} does")
         self.kind = kind
         self.words = Words(self.library, kind)
 

@@ -110,5 +110,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame |
     url = F.col("url")
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = pick(pages, page_id="page_id", url="url").select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    judged = judged.withColumns({"rule": rule, "own": verdict})
+    # Urls that are no node have a key each that no node has, so they don't meet in one task.
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", F.monotonically_increasing_id()).cast("string"))
+    judged = judged.withColumns({"rule": rule, "own": verdict, "node": F.coalesce("node", alone)})
     return judged.join(blocked, "node", "left").select("page_id", "url", "host", "path", "rule", F.coalesce("own", "passed_on", F.lit("allow")).alias("verdict"))

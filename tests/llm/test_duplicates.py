@@ -57,6 +57,10 @@ def test_classes(spark, docs_of, monkeypatch, bucket):
     assert simhash_dedup.dedup_classes(docs_of([])).count() == 0
     kept = simhash_dedup.keep_first(docs_of(rows)).select("doc_id").collect()
     assert len(kept) == len({c[2] for c in plain_classes(rows)})
+    own = docs_of(rows).selectExpr("doc_id", "text", "7 as key", "'own' as th", "1 as row", "'x' as `a.b`")
+    for keep in (simhash_dedup.keep_first, near_copies.keep_first):
+        left = keep(own)
+        assert left.columns == own.columns and {(r.key, r.th, r.row, r["a.b"]) for r in left.collect()} == {(7, "own", 1, "x")}
 
 
 def plain_firsts(rows):
