@@ -435,7 +435,7 @@ def cluster_summaries(g: Graph) -> DataFrame:
 CONTRACTS = "c as (select 'c' || c_custkey as id, 'p' || c_nationkey % 7 as project, 'consumer' as role, case c_custkey % 3 when 0 then 'lib' when 1 then 'http' else 'onchain' end as contract_type, case c_custkey % 3 when 0 then 'lib::@pkg/' || c_custkey % 40 when 1 then 'http::any::/api/' || c_custkey % 30 else 'onchain::get' || list_extract(['Token','Vault','Bridge','Pool'], cast(c_custkey % 4 + 1 as int)) || 'Client' end as contract_id, 0.5 + (c_custkey % 5) / 10.0 as confidence from customer union all select 's' || s_suppkey, 'p' || s_nationkey % 7, 'provider', case s_suppkey % 3 when 0 then 'lib' when 1 then 'http' else 'onchain' end, case s_suppkey % 3 when 0 then case when s_suppkey % 2 = 0 then 'lib::@pkg/*' else 'lib::@pkg/' || s_suppkey % 40 end when 1 then 'http::any::/api/' || s_suppkey % 30 else 'onchain::TRS' || list_extract(['Token','Vault','Bridge','Pool'], cast(s_suppkey % 4 + 1 as int)) end, 0.6 + (s_suppkey % 4) / 10.0 from supplier)"
 
 
-def _contracts(g: Graph) -> DataFrame:
+def made_contracts(g: Graph) -> DataFrame:
     things = F.array(*[F.lit(x) for x in ("Token", "Vault", "Bridge", "Pool")])
     ck, sk = F.col("c_custkey"), F.col("s_suppkey")
     kind = lambda k: F.when(k % 3 == 0, "lib").when(k % 3 == 1, "http").otherwise("onchain")
@@ -459,41 +459,41 @@ def _short(links: DataFrame) -> DataFrame:
 
 @query(EXACT + " select consumer_id, provider_id, round(confidence, 6) as confidence from ex", over_graph=False)
 def contract_match_exact(g: Graph) -> DataFrame:
-    return _short(contracts.match_exact(_contracts(g)))
+    return _short(contracts.match_exact(made_contracts(g)))
 
 
 @query(EXACT + " select a.id as consumer_id, b.id as provider_id, round(least(a.confidence, b.confidence)::double * 0.8, 6) as confidence from c a join c b on a.role = 'consumer' and b.role = 'provider' and a.project <> b.project and a.contract_id <> b.contract_id and split_part(a.contract_id, '::', 1) = split_part(b.contract_id, '::', 1) and (a.contract_id glob b.contract_id) where (a.id, b.id) not in (select consumer_id, provider_id from ex)", over_graph=False)
 def contract_match_wildcard(g: Graph) -> DataFrame:
-    rows = _contracts(g)
+    rows = made_contracts(g)
     return _short(contracts.match_wildcard(rows, contracts.match_exact(rows)))
 
 
 @query(EXACT + " , t as (select *, case when role = 'consumer' then ['get', lower(regexp_extract(contract_id, 'get(.*)Client', 1)), 'client'] else ['trs', lower(regexp_extract(contract_id, 'TRS(.*)', 1))] end as w from c where contract_type = 'onchain'), j as (select a.id as consumer_id, b.id as provider_id, least(a.confidence, b.confidence)::double as cf, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) as sc from t a join t b on a.role = 'consumer' and b.role = 'provider' and a.project <> b.project) select consumer_id, provider_id, round(cf * sc, 6) as confidence from j where sc >= 0.3", over_graph=False)
 def contract_match_fuzzy(g: Graph) -> DataFrame:
-    rows = _contracts(g)
+    rows = made_contracts(g)
     return _short(contracts.match_fuzzy(rows, contracts.match_exact(rows)))
 
 
 @query(f"with {CONTRACTS}, x as (select *, cast(substr(id, 2) as bigint) as ord from c) select project, contract_type, contract_id, role, arg_max(id, ord) as symbol_name, round(arg_max(confidence, ord)::double, 6) as confidence from x group by project, contract_type, contract_id, role", over_graph=False)
 def contract_store_collapse(g: Graph) -> DataFrame:
-    rows = _contracts(g).withColumns({"ord": F.expr("cast(substring(id, 2) as bigint)"), "symbol_name": F.col("id"), "symbol_file": F.lit("f"), "symbol_node": F.lit(None).cast("string")}).drop("id")
+    rows = made_contracts(g).withColumns({"ord": F.expr("cast(substring(id, 2) as bigint)"), "symbol_name": F.col("id"), "symbol_file": F.lit("f"), "symbol_node": F.lit(None).cast("string")}).drop("id")
     return contracts.stored(rows).select("project", "contract_type", "contract_id", "role", "symbol_name", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"with {CONTRACTS} select id, project, contract_id from c where contract_type = 'http' and role = 'provider' order by id limit 50", over_graph=False)
 def contracts_filter(g: Graph) -> DataFrame:
-    return contracts.filtered(_contracts(g), "http", "provider").select("id", "project", "contract_id")
+    return contracts.filtered(made_contracts(g), "http", "provider").select("id", "project", "contract_id")
 
 
 @query(f"with {CONTRACTS} select contract_type, role, count(*) as n from c group by all", over_graph=False)
 def contracts_summary(g: Graph) -> DataFrame:
-    return contracts.summary(_contracts(g))
+    return contracts.summary(made_contracts(g))
 
 
 @query(EXACT + ", li as (select row_number() over () as l, * from ex), en as (select distinct l, c.project from (select l, consumer_id as id from li union all select l, provider_id from li) join c using (id)) select 'team' as name, 'p' || i as project, (select count(*) from c where project = 'p' || i) as contracts, (select count(*) from en where project = 'p' || i) as links from range(3) t(i)", over_graph=False)
 def group_status(g: Graph) -> DataFrame:
     groups = g.spark.sql("select 'team' as name, transform(sequence(0, 2), i -> named_struct('project', concat('p', i), 'path', '')) as members")
-    rows = _contracts(g)
+    rows = made_contracts(g)
     return contracts.group_status(groups, rows, materialize(contracts.match_exact(rows), "links"))
 
 

@@ -9,11 +9,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from graphloom.plans import catalog
+from graphloom.plans import catalog, code_rows  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["hubs", "callers_d3", "blast_radius_d3", "path_nodes", "detect_changes_affected", "session_dedup", "detect_changes_risk", "entry_points", "traces_dedup", "search_fuzzy", "rrf_fuse", "dedup_nodes", "resolve_edges", "cluster_label", "contract_match_fuzzy", "contract_match_wildcard", "innermost_scope", "nearest_symbol", "ai_batches", "prompt_budget", "contract_normalize"]
+FEW = ["hubs", "callers_d3", "blast_radius_d3", "path_nodes", "detect_changes_affected", "session_dedup", "extract_python", "extract_script", "extract_manifest", "contract_patterns_all", "contract_links", "embed_nodes", "definition_edges", "type_info", "prompt_lookup", "scalar_functions", "detect_changes_risk", "entry_points", "traces_dedup", "search_fuzzy", "rrf_fuse", "dedup_nodes", "resolve_edges", "cluster_label", "contract_match_fuzzy", "contract_match_wildcard", "innermost_scope", "nearest_symbol", "ai_batches", "prompt_budget", "contract_normalize"]
 ROOT = Path(__file__).resolve().parent.parent
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
