@@ -94,6 +94,9 @@ def test_near_copies(spark, docs_of, monkeypatch, bucket):
     import corpus_pipeline
 
     monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    if bucket == 1:
+        monkeypatch.setattr(near_copies, "CENTRES", 1)
+        monkeypatch.setattr(near_copies, "PART", 3)
     r = random.Random(21)
     rows, line = [], words(r, 20)
     for i in range(40):
@@ -111,6 +114,29 @@ def test_near_copies(spark, docs_of, monkeypatch, bucket):
     assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == plain_firsts(rows)
 
 
+def test_crowded_band_loses_no_link(spark, docs_of):
+    """A group of 120 near copies, some over 0.2 from every centre and linked in pairs among themselves."""
+    r = random.Random(5)
+    w, rows = words(r, 150), []
+    for i in range(120):
+        e = list(w)
+        for at in r.sample(range(150), 2 if i % 3 else 6):
+            e[at] = f"own{i}"
+        rows.append((2 * i, " ".join(e)))
+        if i % 12 == 0:
+            e[r.randrange(150)] = "again"
+            rows.append((2 * i + 1, " ".join(e)))
+    assert [x.doc_id for x in near_copies.keep_first(docs_of(rows)).orderBy("doc_id").collect()] == plain_firsts(rows)
+
+
+def test_similar_between():
+    r = np.random.default_rng(2)
+    base = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 40, 80, 200)]
+    left, right = base + [b[1:] for b in base], [b[:-1] for b in base] + base
+    want = [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if near_copies.similarity(a, b) >= 0.8]
+    assert near_copies.similar_between(left, right) == want and near_copies.similar_between(left, []) == []
+
+
 def test_thresholds_cover_the_radius():
     """Every pair within the radius agrees within the threshold on some group, whatever is allocated."""
     r = random.Random(1)
