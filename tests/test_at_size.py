@@ -53,3 +53,25 @@ def test_pairs_of_contracts_are_not_shuffled(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Generate")] if "Generate" in plan else plan
     assert "Generate" in plan and not any(x in above for x in ("Join", "Aggregate", "Window", "Repartition", "Deduplicate"))
+
+
+def test_vectors_hash_words_once(spark):
+    """The words of a text are hashed once and not for each of the vector's places."""
+    from graphloom.operators import embed
+
+    plan = spark.createDataFrame([("getUserName x x",)], "t string").select(embed.embedded(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "transform(array(transform(" in plan
+
+
+def test_prompt_lookup_gives_prompts_the_first_nodes_alone(spark, monkeypatch):
+    """What many prompts ask for and many names hold isn't paired."""
+    from graphloom.operators import hooks
+
+    nodes = spark.range(60).selectExpr("cast(id as string) id", "concat('load_config_', lpad(id, 2, '0')) name", "'a.py' file", "'function' type", "cast(id as int) line")
+    prompts = spark.range(50).selectExpr("id", "'explain load_config' text")
+    ranked, real = [], hooks.first_per
+    monkeypatch.setattr(hooks, "first_per", lambda df, *rest: ranked.append(df.count()) or real(df, *rest))
+    none = spark.createDataFrame([], "src string, dst string, relation string")
+    got = sorted((r["id"], r["name"]) for r in hooks.prompt_lookup(nodes, none, prompts).collect() if r["term"] == "load_config")
+    assert got == [(i, f"load_config_0{k}") for i in range(50) for k in range(3)]
+    assert max(ranked) < 1000
