@@ -20,7 +20,9 @@ def embedded(text: Column, dims: int = DIMS) -> Column:
     sign = lambda w: F.when(F.substring(F.md5(w), 5, 1) < "8", 1.0).otherwise(-1.0)
     hits = F.transform(tokens(text), lambda w: F.struct(place(w).alias("at"), sign(w).alias("by")))
     each = F.sequence(F.lit(0), F.lit(dims - 1))
-    return F.transform(each, lambda i: F.aggregate(hits, F.lit(0.0), lambda s, h: s + F.when(h["at"] == i, h["by"]).otherwise(0.0)))
+    # The hits stand in a list of one, so that they are made once a text and not again for each place.
+    sums = lambda found: F.transform(each, lambda i: F.aggregate(found, F.lit(0.0), lambda s, h: s + F.when(h["at"] == i, h["by"]).otherwise(0.0)))
+    return F.transform(F.array(hits), sums)[0]
 
 
 def embed_nodes(nodes: DataFrame, dims: int = DIMS) -> DataFrame:
