@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +21,21 @@ def tokens(text: Column) -> Column:
 
 def embedded(text: Column, dims: int = DIMS) -> Column:
     """An array of ``dims`` sums: each word adds 1 or -1 at a place, both from its MD5."""
-    place = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims
-    sign = lambda w: F.when(F.substring(F.md5(w), 5, 1) < "8", 1.0).otherwise(-1.0)
-    hits = F.transform(tokens(text), lambda w: F.struct(place(w).alias("at"), sign(w).alias("by")))
-    each = F.sequence(F.lit(0), F.lit(dims - 1))
-    # The hits stand in a list of one, so that they are made once a text and not again for each place.
-    sums = lambda found: F.transform(each, lambda i: F.aggregate(found, F.lit(0.0), lambda s, h: s + F.when(h["at"] == i, h["by"]).otherwise(0.0)))
-    return F.transform(F.array(hits), sums)[0]
+
+    @F.arrow_udf("array<double>")
+    def sums(words: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        # Each word is hashed once a batch.
+        hashed = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+        place = np.array([int(h[:4], 16) % dims for h in hashed], np.int64)
+        sign = np.array([1.0 if h[4] < "8" else -1.0 for h in hashed])
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        out = np.bincount(owner * dims + place[which], sign[which], len(words) * dims) if len(which) else np.zeros(len(words) * dims)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dims, pa.int32()), pa.array(out.astype(np.float64)))
+
+    return sums(tokens(text))
 
 
 def embed_nodes(nodes: DataFrame, dims: int = DIMS) -> DataFrame:
