@@ -306,3 +306,14 @@ def test_word_hashes_and_seeds():
     packed = passages.packed(np.sort(h), doc.astype(np.int64), pos)
     back = passages.unpacked(packed)
     assert (back[0] == np.sort(h)).all() and (back[1] == doc).all() and (back[2] == pos).all()
+
+
+def test_passages_of_repeated_lines_are_reported_once(spark, docs_of):
+    """Not once a repeat: every other passage of the pair lies in that one."""
+    r = random.Random(31)
+    docs = [(i, " ".join(words(r, 60) + ["is", "onhe."] * n + words(r, 60))) for i, n in enumerate([300, 260, 280, 300])]
+    got = [x for x in passages.repeated_passages(docs_of(docs)).collect() if x.kind == "passage"]
+    assert {i for x in got for i in (x.doc_id, x.other_doc_id)} == {0, 1, 2, 3}
+    assert len(got) <= 20 and max(x.n_words for x in got) >= 520
+    spans = [(x.doc_id, x.other_doc_id, x.start_word, x.start_word + x.n_words, x.other_start, x.other_start + x.other_words, x.identity) for x in got]
+    assert not [1 for a in spans for b in spans if a != b and a[:2] == b[:2] and b[2] <= a[2] and b[3] >= a[3] and b[4] <= a[4] and b[5] >= a[5] and b[6] >= a[6]]
