@@ -317,3 +317,21 @@ def test_passages_of_repeated_lines_are_reported_once(spark, docs_of):
     assert len(got) <= 20 and max(x.n_words for x in got) >= 520
     spans = [(x.doc_id, x.other_doc_id, x.start_word, x.start_word + x.n_words, x.other_start, x.other_start + x.other_words, x.identity) for x in got]
     assert not [1 for a in spans for b in spans if a != b and a[:2] == b[:2] and b[2] <= a[2] and b[3] >= a[3] and b[4] <= a[4] and b[5] >= a[5] and b[6] >= a[6]]
+
+
+@pytest.mark.parametrize("others", [20, 40])
+def test_fuzzy_passages_whose_seeds_other_texts_hold(spark, docs_of, others):
+    """Two texts share 72 words but for an edit every 18; each run between edits is held by others, whichever
+    text has the least hash."""
+    r = random.Random(others)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    docs, pairs = [], []
+    for _ in range(6):
+        a = fresh(72)
+        b = [f"x{r.randrange(10**6)}" if i % 18 == 17 else x for i, x in enumerate(a)]
+        runs = [a[i : i + 17] for i in range(0, 72, 18)]
+        pairs.append((len(docs), len(docs) + 1))
+        for part in (a, b, *runs * others):
+            docs.append((len(docs), " ".join(fresh(45) + part + fresh(45))))
+    got = passages.repeated_passages(docs_of(docs)).collect()
+    assert {tuple(sorted((x.doc_id, x.other_doc_id))) for x in got} == set(pairs)
