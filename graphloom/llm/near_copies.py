@@ -1,9 +1,11 @@
-"""Near copies by the similarity of their shingles: candidates from bands of minhashes, each verified.
+"""Near copies: the links of ``simhash_dedup``, and those by the similarity of shingles that its radius misses,
+candidates from bands of minhashes, each verified.
 
-Two texts are near copies if the sets of their shingles of SHINGLE words (XXH64, seed 42) have a Jaccard
-similarity of at least SIMILARITY; groups are the connected components. Texts of one set are one node.
+Two texts are near copies if their SimHash fingerprints are in one class of ``simhash_dedup`` or the sets of
+their shingles of SHINGLE words (XXH64, seed 42) have a Jaccard similarity of at least SIMILARITY; groups are
+the connected components of both kinds of links. Texts of one set are one node.
 
-Search: BANDS hashes of ROWS minima each stand for a node. Two nodes at the least similarity share a band
+Search of similar sets: BANDS hashes of ROWS minima each stand for a node. Two nodes at the least similarity share a band
 with probability 1 - (1 - 0.8 ** 5) ** 30, all but 7 in a million; two that share a line seldom do. Nodes
 of one band are compared by their whole sets. A band that over BUCKET nodes share isn't expanded into
 pairs: its nodes are first compared to CENTRES of them, the same for all, which joins most into one
@@ -24,6 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import simhash_dedup
 from graphloom.llm.common import arrow_map, keep_rows, materialize, pick
 from graphloom.llm.components import connected_components
 
@@ -141,8 +144,17 @@ def stray_links(keys: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame
     return both.groupBy("band", "v", "i", "j").applyInArrow(compared, "a long, b long").distinct()
 
 
+def fingerprint_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Edges (a, b) from each node to the least one of its SimHash class."""
+    classes = simhash_dedup.classes(docs).select("th", F.col("root").alias("class")).distinct()
+    of = materialize(marked.select("th", "node").distinct().join(classes, "th").select("node", "class").distinct(), "fingerprinted")
+    least = of.groupBy("class").agg(F.min("node").alias("b"))
+    return of.join(least, "class").select(F.col("node").alias("a"), "b").where("a <> b")
+
+
 def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that have a link: sets as similar as SIMILARITY that share a band."""
+    """(node, root) of the nodes that have a link: those of one SimHash class, and sets as similar as SIMILARITY
+    that share a band."""
     keys = materialize(band_keys(marked.select("node", "bands").dropDuplicates(["node"])), "keys")
     pairs = materialize(candidates(keys), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -163,7 +175,7 @@ def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     links = materialize(arrow_map(both.select("a", "b", "left", "right"), verified, "a long, b long"), "links")
-    found = connected_components(links)
+    found = connected_components(links.union(fingerprint_links(docs, marked)))
     crowded = keys.where(F.col("n") > BUCKET).select("band", "v", "node")
     if crowded.isEmpty():
         return found

@@ -335,3 +335,17 @@ def test_fuzzy_passages_whose_seeds_other_texts_hold(spark, docs_of, others):
             docs.append((len(docs), " ".join(fresh(45) + part + fresh(45))))
     got = passages.repeated_passages(docs_of(docs)).collect()
     assert {tuple(sorted((x.doc_id, x.other_doc_id))) for x in got} == set(pairs)
+
+
+def test_near_copies_has_the_links_of_fingerprints(spark, docs_of):
+    """Texts whose fingerprints are within the radius are one group though their shingle sets aren't alike."""
+    r = random.Random(5)
+    while True:
+        a = words(r, 24)
+        b = [*a]
+        b[12] = "changed"
+        near = bin(simhash_dedup.fingerprint(" ".join(a)) ^ simhash_dedup.fingerprint(" ".join(b))).count("1")
+        if near <= simhash_dedup.RADIUS and near_copies.similarity(*(near_copies.shingle_set(" ".join(x)) for x in (a, b))) < near_copies.SIMILARITY:
+            break
+    docs = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(words(r, 30))), (4, None), (5, "")]
+    assert sorted(x.doc_id for x in near_copies.keep_first(docs_of(docs)).collect()) == [1, 3, 4]
