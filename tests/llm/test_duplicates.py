@@ -1,6 +1,7 @@
 """SimHash classes, decontamination and passages against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -349,3 +350,58 @@ def test_near_copies_has_the_links_of_fingerprints(spark, docs_of):
             break
     docs = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(words(r, 30))), (4, None), (5, "")]
     assert sorted(x.doc_id for x in near_copies.keep_first(docs_of(docs)).collect()) == [1, 3, 4]
+
+
+def test_passages_leave_no_shuffle_behind(spark, docs_of):
+    """What a step shuffled is gone when its table is written; it was kept until the driver's JVM collected it."""
+    kept = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if x.endswith(".data")}
+    before = kept()
+    text = " ".join(f"w{i}" for i in range(80))
+    found = passages.repeated_passages(docs_of([(1, f"{text} x"), (2, f"y {text}"), (3, "z " * 60)]))
+    for _ in range(50):
+        left = kept() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert [(x.start_word, x.n_words, x.other_start) for x in found.collect()] in ([(0, 80, 1)], [(1, 80, 0)])
+
+
+def test_hopeful_chains_as_one_by_one(spark):
+    """Chains of a bundle judged at once, against each by hand, at the ends of texts too."""
+    pa = passages.pa
+    rng = random.Random(5)
+    rows, want = [], []
+    for k in range(40):
+        row = dict(bundle=k, rid=1, rep=2, d0=[], dn=[], d=b"", r0=[], rn=[], r=b"", at=[])
+        for _ in range(rng.randint(1, 3)):
+            left, right = rng.choice([0, 3, 44]), rng.choice([0, 5, 44])
+            d = [rng.randrange(256) for _ in range(left + passages.K + right)]
+            r = [x if rng.random() < 0.9 else rng.randrange(256) for x in d]
+            row["at"].append(7 + left)
+            for side, words in (("d", d), ("r", r)):
+                row[f"{side}0"].append(7)
+                row[f"{side}n"].append(len(words))
+                row[side] += bytes(words)
+            ways = ((d[:left][::-1], r[:left][::-1]), (d[left + passages.K :], r[left + passages.K :]))
+            for out, (a, b) in zip((want, want), ways):
+                score = top = far = 0
+                for x, y in zip(a, b):
+                    score += 1 if x == y else -4
+                    top = max(top, score)
+                    if top - score > passages.DROP:
+                        break
+                    far += 1
+                out.append(far)
+        rows.append(row)
+    lists = {c: pa.array([r[c] for r in rows], pa.list_(pa.int32())) for c in ("d0", "dn", "r0", "rn")}
+    anchors = pa.array([[np.array([[p], [p]], "<i4").tobytes() for p in r["at"]] for r in rows], pa.list_(pa.binary()))
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array([r["rid"] for r in rows]), "rep": pa.array([r["rep"] for r in rows]), "anchors": anchors, "d": pa.array([r["d"] for r in rows], pa.binary()), "r": pa.array([r["r"] for r in rows], pa.binary()), **lists})
+    sides = passages.Sides(batch, "u1")
+    at = np.array([p for r in rows for p in r["at"]])
+    got = np.stack([sides.reach([at, at], -1), sides.reach([at + passages.K] * 2, 1)], 1)
+    assert got.ravel().tolist() == want
+    row, places = sides.places(np.arange(len(at)))
+    assert all(len(x["around"]) >= passages.K and x["around"][x["before"] :][: passages.K] == x["seed"].to_bytes(6, "little") for x in places.to_pylist())
+    assert (np.diff(row) >= 0).all()
